@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters without width, and dashes that stand for the hyphen.
@@ -22,39 +22,45 @@ def plain(text: Column) -> Column:
 
 
 def arxiv_id(text: Column) -> Column:
-    """The arXiv id named in the text, without version and subject class; null if there is none."""
-    text = F.regexp_replace(plain(text), r"\.pdf$", "")
+    """The arXiv id named in a plain text, without version and subject class; null if there is none."""
+    text = F.regexp_replace(text, r"\.pdf$", "")
     new = F.regexp_extract(text, r"(?:^|[^0-9.])([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?(?![0-9])", 1)
-    old = F.regexp_extract(text, r"([a-z]+(?:-[a-z]+)?)(?:\.[a-z]{2})?/([0-9]{7})(?:v[0-9]+)?(?![0-9])", 1)
-    number = F.regexp_extract(text, r"[a-z]+(?:-[a-z]+)?(?:\.[a-z]{2})?/([0-9]{7})(?:v[0-9]+)?(?![0-9])", 1)
-    return F.when(new != "", new).when(old != "", F.concat_ws("/", old, number))
+    old = F.regexp_extract(text, r"([a-z]+(?:-[a-z]+)?(?:\.[a-z]{2})?/[0-9]{7})(?:v[0-9]+)?(?![0-9])", 1)
+    return F.when(new != "", new).when(old != "", F.regexp_replace(old, r"\.[a-z]{2}/", "/"))
 
 
 def doi(text: Column) -> Column:
-    """The DOI named in the text in lower case, without resolver, query, and closing marks; null if incomplete."""
-    name = F.regexp_extract(plain(text), r"(10\.[0-9]{4,9}(?:\.[0-9]+)*/[^?#\"<>]*)", 1)
+    """The DOI named in a plain text, without resolver, query, and closing marks; null if incomplete."""
+    name = F.regexp_extract(text, r"(10\.[0-9]{4,9}(?:\.[0-9]+)*/[^?#\"<>]*)", 1)
     name = F.regexp_replace(name, r"&(?:gt|lt|quot);?$", "")
-    open_ended = F.regexp_replace(name, r"[\s.,;:!'’”\]}/\\|]*\)?[\s.,;:!'’”\]}/\\|]*$", "")
-    closed = F.regexp_replace(name, r"[\s.,;:!'’”\]}/\\|]+$", "")
-    name = F.when(closed.contains("("), closed).otherwise(open_ended)
+    name = F.regexp_replace(name, r"[\s.,;:!'’”\]}/\\|]+$", "")
+    # a closing bracket belongs to the DOI only if one opens in it
+    name = F.regexp_replace(name, r"^([^(]*?)[\s.,;:!'’”\]}/\\|)]+$", "$1")
     return F.when(name.rlike(r"^10\.[0-9.]+/.*[0-9a-z]"), name)
 
 
-def identifier_keys(doi_text: Column, arxiv_text: Column | None = None) -> Column:
-    """Array of the distinct keys a row names: ``d:`` + DOI or ``a:`` + arXiv id.
+def with_identifier_keys(df: DataFrame, out: str, *columns: str) -> DataFrame:
+    """``df`` with ``out``, an array of the distinct keys that the columns name.
 
-    A DOI issued by arXiv stands for the arXiv id; a column that holds the other kind of
-    identifier is read as what it is. Null, blank and incomplete values give no key.
+    A key is ``d:`` + DOI or ``a:`` + arXiv id. A DOI issued by arXiv stands for the arXiv id; a
+    column that holds the other kind of identifier is read as what it is. Null, blank and
+    incomplete values give no key. The steps are columns of their own, so that a value is
+    brought to its plain form once.
     """
-    found = []
-    for text in [doi_text] + ([arxiv_text] if arxiv_text is not None else []):
-        name = doi(text)
-        number = F.when(
-            name.startswith("10.48550/arxiv."), arxiv_id(F.regexp_replace(name, r"^10\.48550/arxiv\.", ""))
-        ).when(name.isNull(), arxiv_id(text))
-        found.append(F.when(number.isNotNull(), F.concat(F.lit("a:"), number)).when(
-            name.isNotNull() & ~name.startswith("10.48550/arxiv."), F.concat(F.lit("d:"), name)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    names = []
+    for k, column in enumerate(columns):
+        p, n = f"_plain_{k}", f"_doi_{k}"
+        df = df.withColumn(p, plain(F.col(column))).withColumn(n, doi(F.col(p)))
+        own = F.col(n).startswith("10.48550/arxiv.")
+        df = df.withColumn(
+            f"_key_{k}",
+            F.when(own, F.concat(F.lit("a:"), arxiv_id(F.regexp_replace(n, r"^10\.48550/arxiv\.", ""))))
+            .when(F.col(n).isNotNull(), F.concat(F.lit("d:"), F.col(n)))
+            .otherwise(F.concat(F.lit("a:"), arxiv_id(F.col(p)))),
+        )
+        names += [p, n, f"_key_{k}"]
+    keys = F.array_distinct(F.array_compact(F.array(*[F.col(f"_key_{k}") for k in range(len(columns))])))
+    return df.withColumn(out, keys).drop(*names)
 
 
 def record_key(*fields: Column) -> Column:

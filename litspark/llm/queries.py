@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litspark.llm.canonical import map_values
+from litspark.llm.consensus import cell_readings, consensus
 from litspark.llm.copies import copy_groups
-from litspark.llm.identifiers import identifier_keys
+from litspark.llm.identifiers import with_identifier_keys
+from litspark.llm.spans import removal_clusters, shared_pairs, shared_share, shared_windows
+from litspark.llm.templates import find_stand_ins
 from litspark.sources.tables import table
 
 
+def _stand_ins(spark: SparkSession, d: str) -> DataFrame:
+    results = table(spark, d, "ingest_routing_results")
+    return find_stand_ins(results, "result_id", "result_title", results.select("publisher").where("publisher is not null"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Results whose title is a stand-in."""
+    return _stand_ins(spark, d).select(F.col("id").alias("result_id"))
+
+
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Results with a title, without the stand-ins."""
+    results = table(spark, d, "ingest_routing_results").where("trim(result_title) <> ''")
+    found = _stand_ins(spark, d).select(F.col("id").alias("result_id"))
+    return results.join(found, "result_id", "left_anti").select("result_id", "doi", "publisher", "result_title")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Members of groups of copies by DOI or arXiv id, in each of the two tables."""
     works = table(spark, d, "crossref_works").select(
@@ -18,10 +39,58 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     candidates = table(spark, d, "ingest_candidates").select(
         F.lit("ingest_candidates").alias("rec_table"), F.col("candidate_id").alias("rec_id"), "doi", "arxiv_id"
     )
-    keys = identifier_keys(F.col("doi"), F.col("arxiv_id"))
-    groups = copy_groups(works.unionByName(candidates), "rec_id", keys, scope=F.col("rec_table"))
+    both = with_identifier_keys(works.unionByName(candidates), "keys", "doi", "arxiv_id")
+    groups = copy_groups(both, "rec_id", F.col("keys"), scope=F.col("rec_table"))
     return groups.select(F.col("scope").alias("rec_table"), "rec_id", "first_id")
 
 
-QUERIES = {"p7_found": p7_found}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The agreed text of each cell that is read in at least two ways."""
+    cells, _ = consensus(cell_readings(table(spark, d, "vision_agent_results")))
+    return cells.where("labels > 1").select("table_id", "row_idx", "col_idx", F.col("label").alias("cell_text"))
+
+
+def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
+    """Reliability of each reader beside the accuracy it reports of itself."""
+    results = table(spark, d, "vision_agent_results")
+    _, readers = consensus(cell_readings(results))
+    said = results.groupBy(F.col("agent_idx").cast("long").alias("agent")).agg(F.avg("cell_accuracy_pct").alias("said_pct"))
+    return readers.join(said, "agent", "left").select(F.col("agent").alias("agent_idx"), "reliability", "group", "said_pct")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Works whose journal means a venue of the list, and that venue."""
+    works = table(spark, d, "crossref_works")
+    found = map_values(works, "journal", table(spark, d, "scimago_titles"), "title_normalized").where("matched is not null")
+    found = found.select(F.col("value").alias("journal"), F.col("matched").alias("title_normalized"))
+    return works.select("work_id", "journal").join(found, "journal").select("work_id", "title_normalized")
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Journal values that mean no venue of the list, with their number of rows."""
+    works = table(spark, d, "crossref_works")
+    found = map_values(works, "journal", table(spark, d, "scimago_titles"), "title_normalized")
+    return found.where("matched is null").select(F.col("value").alias("journal"), F.col("n").alias("rows"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents with a common span of at least 300 characters."""
+    pairs = shared_pairs(shared_windows(table(spark, d, "documents"), "doc_id", "text"))
+    return pairs.toDF("doc_id_a", "doc_id_b")
+
+
+def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each document's text that stands verbatim in another one."""
+    documents = table(spark, d, "documents")
+    share = shared_share(documents, shared_windows(documents, "doc_id", "text"), "doc_id", "text")
+    return share.withColumnRenamed("id", "doc_id")
+
+
+def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Documents joined by shared spans, under the least id of their cluster."""
+    pairs = shared_pairs(shared_windows(table(spark, d, "documents"), "doc_id", "text"))
+    return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

@@ -12,7 +12,7 @@ from litspark.sources.tables import written
 #: Least weighted cosine of a candidate, and by how many edits the best must beat the second.
 THRESHOLD, MARGIN = 0.5, 1
 #: Candidates are checked from this share of the best cosine of the value.
-NEAR = 0.8
+NEAR = 0.65
 #: Words that carry no meaning in a venue name.
 EMPTY_WORDS = ("of", "on", "the", "in", "and", "de", "for", "la", "le", "der", "und", "et", "del", "f")
 

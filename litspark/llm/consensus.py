@@ -83,7 +83,7 @@ def _posterior(pairs: DataFrame, parameters: DataFrame) -> DataFrame:
         pairs.join(chances, ["agent", "kind"])
         .repartition(*item)
         .groupBy(*item, "candidate")
-        .agg(F.sum(F.col("weight") * F.col("chance")).alias("score"), F.collect_list(F.struct("agent", "kind")).alias("given"))
+        .agg((F.max("prior") + F.sum(F.col("weight") * F.col("chance"))).alias("score"), F.collect_list(F.struct("agent", "kind")).alias("given"))
     )
     w = Window.partitionBy(*item)
     scored = scored.withColumn("odds", F.exp(F.col("score") - F.max("score").over(w)))
@@ -135,6 +135,10 @@ def consensus(readings: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Dat
         .select(*item, "candidate", F.explode("given").alias("g"))
         .select(*item, "candidate", "g.agent", "g.label", _kind(F.col("candidate"), F.col("g.label")).alias("kind"), F.lit(1.0).alias("weight"))
     )
+    # words that other tables use too are likelier than misreadings of them
+    tables = readings.where(F.col("label").rlike(r"\p{L}{3}")).groupBy(F.col("label").alias("candidate"))
+    tables = tables.agg(F.log1p(F.count_distinct("table_id") - 1.0).alias("prior")).where("prior > 0")
+    pairs = pairs.join(tables, "candidate", "left").fillna(0.0, ["prior"])
     pairs, agreed = written(pairs, "pairs"), written(agreed, "agreed")
     _, posterior = _fit(pairs, agreed, rounds // 2)
     best = F.max_by("candidate", F.struct("posterior", "candidate"))

@@ -9,6 +9,7 @@ from litspark.llm.canonical import map_values
 from litspark.llm.consensus import cell_readings, consensus
 from litspark.llm.copies import copy_groups
 from litspark.llm.identifiers import with_identifier_keys
+from litspark.llm.leaks import find_leaks
 from litspark.llm.spans import removal_clusters, shared_pairs, shared_share, shared_windows
 from litspark.llm.templates import find_stand_ins
 from litspark.sources.tables import table
@@ -73,6 +74,22 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return found.where("matched is null").select(F.col("value").alias("journal"), F.col("n").alias("rows"))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items")
+    return find_leaks(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold a passage."""
+    return _leaks(spark, d).select(F.col("id").alias("doc_id"), "item_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each evaluation item, how many documents hold a passage and the longest one."""
+    found = _leaks(spark, d).groupBy("item_id")
+    return found.agg(F.count("*").alias("documents"), F.max("words").alias("longest"), F.max("similarity").alias("similarity"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with a common span of at least 300 characters."""
     pairs = shared_pairs(shared_windows(table(spark, d, "documents"), "doc_id", "text"))
@@ -92,5 +109,5 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
+QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

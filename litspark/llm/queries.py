@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litspark.llm.canonical import map_values
 from litspark.llm.consensus import cell_readings, consensus
 from litspark.llm.copies import copy_groups
+from litspark.llm.encoding import find_garbled, train, validated_margin
 from litspark.llm.identifiers import with_identifier_keys
 from litspark.llm.leaks import find_leaks
 from litspark.llm.spans import removal_clusters, shared_pairs, shared_share, shared_windows
@@ -15,6 +16,22 @@ from litspark.llm.templates import find_stand_ins
 from litspark.sources.tables import table
 
 
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk_records")
+    model = train(chunks, "document")
+    return find_garbled(chunks, "meta_id", "document", model, validated_margin(chunks, "document", model))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that hold text decoded with a wrong encoding."""
+    return _garbled(spark, d).select(F.col("id").alias("meta_id")).distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled chunks with the chain of encodings and the restored text."""
+    return _garbled(spark, d).withColumnRenamed("id", "meta_id")
+
+
 def _stand_ins(spark: SparkSession, d: str) -> DataFrame:
     results = table(spark, d, "ingest_routing_results")
     return find_stand_ins(results, "result_id", "result_title", results.select("publisher").where("publisher is not null"))
@@ -109,5 +126,5 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
+QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

@@ -11,6 +11,7 @@ from litspark.llm.copies import copy_groups
 from litspark.llm.encoding import find_garbled, train, validated_margin
 from litspark.llm.identifiers import with_identifier_keys
 from litspark.llm.leaks import find_leaks
+from litspark.llm.scans import find_scanned, learn, repair
 from litspark.llm.spans import removal_clusters, shared_pairs, shared_share, shared_windows
 from litspark.llm.templates import find_stand_ins
 from litspark.sources.tables import table
@@ -32,6 +33,26 @@ def p3_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d).withColumnRenamed("id", "meta_id")
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunk_records").select(F.lit("chunk_records").alias("rec_table"), F.col("meta_id").alias("rec_id"), F.col("document").alias("text"))
+    captions = table(spark, d, "detected_captions").select(F.lit("detected_captions").alias("rec_table"), F.col("caption_id").alias("rec_id"), "text")
+    return chunks.unionByName(captions)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and captions that bear traces of scanning."""
+    texts = _scanned(spark, d)
+    return find_scanned(texts, learn(texts.select("text"))).select("rec_table", "rec_id").distinct()
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The records with traces, as continuous paragraphs."""
+    texts = _scanned(spark, d)
+    lexicon = learn(texts.select("text"))
+    found = find_scanned(texts, lexicon).select("rec_table", "rec_id").distinct()
+    return repair(texts.join(found, ["rec_table", "rec_id"], "left_semi"), lexicon)
+
+
 def _stand_ins(spark: SparkSession, d: str) -> DataFrame:
     results = table(spark, d, "ingest_routing_results")
     return find_stand_ins(results, "result_id", "result_title", results.select("publisher").where("publisher is not null"))
@@ -126,5 +147,5 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
+QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

@@ -21,13 +21,14 @@ LINE, USUAL = 60, 12
 # Glyphs that recognition confuses, each as the strokes it is read as.
 _STROKES = str.maketrans(
     {"w": "vv", "m": "rri", "n": "ri", "u": "ii", "h": "li", "d": "cl", "e": "c", "t": "f", "1": "l", "0": "o", "@": "a", "9": "g", "8": "b", "6": "b",
-     "!": "i", "|": "l", "5": "s", "$": "s"}
+     "!": "i", "|": "l", "(": "c", "5": "s", "$": "s"}
 )
 #: Words that may follow a hyphen left open, as in "pre- and post-season".
 _LINKS = frozenset("and or to und oder bis y o e ou et a u и или nebo".split())
-TOKEN = re.compile(r"[@!0-9]?[^\W\d_]+(?:[@!|0-9][^\W\d_]+)*")
+TOKEN = re.compile(r"[@!0-9]?[^\W\d_]+(?:[@!|(0-9][^\W\d_]+)*(?:[@0](?!\w))?")
 PLAIN = re.compile(r"[^\W\d_]+")
 HYPHEN = re.compile(r"([^\W\d_]+)(-[ \t]*\n\s*|[‐¬\xad][ \t]*\n?\s*|- )([^\W\d_]+)")
+_WHOLE = re.compile(HYPHEN.pattern + r"(\S*)")
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 NUMBER = re.compile(r"^[\W_]*[+\-–−]?\d[\d.,]*(?:\s*±\s*[\d.,]+)?[\W_]*$")
 PAGE_NUMBER = re.compile(r"^(?:[\-–—~*·|\[\](){}<>.\s]*)\d{1,5}(?:[\-–—~*·|\[\](){}<>.\s]*)$")
@@ -271,7 +272,7 @@ def repair(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
             out = []
             for t, i, text in zip(b["rec_table"], b["rec_id"], b["text"]):
                 drop = set(header_lines(text, lexicon))
-                text = HYPHEN.sub(lambda m: m[1] + m[3] + ("\n" if "\n" in m[2] else "") if broken(m, lexicon) else m[0], text)
+                text = _WHOLE.sub(lambda m: m[1] + m[3] + m[4] + ("\n" if "\n" in m[2] else "") if broken(m, lexicon) else m[0], text)
                 for k, line in enumerate(text.split("\n")):
                     before, words = "", []
                     for part in re.split(f"({TOKEN.pattern})", line):

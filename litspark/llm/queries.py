@@ -11,6 +11,8 @@ from litspark.llm.copies import copy_groups
 from litspark.llm.encoding import find_garbled, train, validated_margin
 from litspark.llm.identifiers import with_identifier_keys
 from litspark.llm.leaks import find_leaks
+from litspark.llm.matching import match_records
+from litspark.llm.mixing import mix
 from litspark.llm.scans import find_scanned, learn, repair
 from litspark.llm.spans import removal_clusters, shared_pairs, shared_share, shared_windows
 from litspark.llm.templates import find_stand_ins
@@ -53,6 +55,26 @@ def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repair(texts.join(found, ["rec_table", "rec_id"], "left_semi"), lexicon)
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    items, works = table(spark, d, "library_items"), table(spark, d, "crossref_works")
+    people = F.array_join(F.transform("authors", lambda x: F.concat_ws(" ", x["firstName"], x["lastName"])), "; ")
+    left = items.select(F.col("item_key").alias("id"), "title", F.col("authors").alias("names_text"), "year")
+    right = works.select(F.col("work_id").alias("id"), "title", people.alias("names_text"), "year")
+    known = with_identifier_keys(works.select(F.col("work_id").alias("id"), "doi"), "keys", "doi")
+    labels = known.where("size(keys) = 1").select("id", F.col("keys")[0].alias("label"))
+    return match_records(left, right, labels)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a library item and a work record of the same publication."""
+    return _matches(spark, d).select(F.col("a_id").alias("item_key"), F.col("b_id").alias("work_id"))
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs with the rule that found them and its confidence."""
+    return _matches(spark, d).withColumnsRenamed({"a_id": "item_key", "b_id": "work_id"})
+
+
 def _stand_ins(spark: SparkSession, d: str) -> DataFrame:
     results = table(spark, d, "ingest_routing_results")
     return find_stand_ins(results, "result_id", "result_title", results.select("publisher").where("publisher is not null"))
@@ -128,6 +150,22 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("documents"), F.max("words").alias("longest"), F.max("similarity").alias("similarity"))
 
 
+def p9_mix_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the largest mixture in which every source reaches its share, with their copies."""
+    selection, _ = mix(table(spark, d, "documents"), table(spark, d, "source_weights"))
+    return selection.withColumnRenamed("id", "doc_id")
+
+
+def p9_mix_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that this mixture reaches."""
+    return mix(table(spark, d, "documents"), table(spark, d, "source_weights"))[1]
+
+
+def p9_mix_fixed_total(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached when the mixture is to be five million tokens, and small sources fall short."""
+    return mix(table(spark, d, "documents"), table(spark, d, "source_weights"), total=5_000_000)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with a common span of at least 300 characters."""
     pairs = shared_pairs(shared_windows(table(spark, d, "documents"), "doc_id", "text"))
@@ -147,5 +185,6 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
+QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_mix_selection": p9_mix_selection, "p9_mix_shares": p9_mix_shares, "p9_mix_fixed_total": p9_mix_fixed_total,
+    "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litspark.functions.identifiers import venue_key
 
@@ -85,7 +86,7 @@ def expanded(name: Column) -> Column:
     return venue_key(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " "))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 x (1 - insertions and deletions / both lengths), from the longest common subsequence."""
 

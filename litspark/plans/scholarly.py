@@ -95,7 +95,7 @@ def citation_counts(spark, d):
     return e.join(n, "dst").groupBy("src").agg(F.count("*").alias("out_degree"), F.sum("n").alias("reach"))
 
 
-@query("""SELECT publisher, candidate_id, turn FROM (SELECT publisher, candidate_id, row_number() OVER (PARTITION BY publisher ORDER BY candidate_id) AS turn, count(*) OVER (PARTITION BY publisher) AS size FROM ingest_candidates WHERE publisher IS NOT NULL)
+@query("""SELECT publisher, candidate_id, turn FROM (SELECT publisher, candidate_id, CAST(row_number() OVER (PARTITION BY publisher ORDER BY candidate_id) AS INTEGER) AS turn, count(*) OVER (PARTITION BY publisher) AS size FROM ingest_candidates WHERE publisher IS NOT NULL)
   ORDER BY turn, size DESC, publisher LIMIT 200""")
 def publisher_sample(spark, d):
     """Two hundred candidates, one of each publisher in turn."""

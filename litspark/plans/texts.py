@@ -64,7 +64,7 @@ def page_asof(spark, d):
 
 
 @query("""SELECT doc_id, pos, CASE WHEN pos < n_chars // 3 THEN 'introduction' WHEN pos < 2 * (n_chars // 3) THEN 'methods' WHEN pos < n_chars THEN 'results' ELSE 'unknown' END AS section,
-  CASE WHEN pos < n_chars // 3 THEN 1.0 WHEN pos < 2 * (n_chars // 3) THEN 0.85 WHEN pos < n_chars THEN 1.0 ELSE 0.5 END AS confidence
+  CASE WHEN pos < n_chars // 3 THEN 1.0::DOUBLE WHEN pos < 2 * (n_chars // 3) THEN 0.85::DOUBLE WHEN pos < n_chars THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence
   FROM (SELECT doc_id, n_chars, unnest(range(0, 4200, 350)) AS pos FROM documents)""")
 def section_assign(spark, d):
     """The section of positions in every document whose thirds are sections."""

@@ -26,13 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, label: str = "stage") -> DataFrame:
+def written(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 
     This cuts the lineage: what follows reads files that survive a lost executor, and
-    reads only the columns it needs.
+    reads only the columns it needs, and with ``by`` only the parts with the values it asks for.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -78,8 +78,8 @@ _NAME = r"[\w.\-]+(?:[ _\-][\w.\-]+){0,2}"
 PLACEHOLDER = re.compile(
     r"\$?\{\{[^{}]*\}\}|\{%[^{}]*%?\}|<%[^<>]*%?>|\[\[[^\[\]]*\]\]|[#$]\{\s*[^{},]*\}|\{\s*" + _NAME + r"\s*\}|\{\d*\}"
     r"|%\(" + _NAME + r"\)s|%[a-z][\w.\-]*%|\$[a-z][\w.\-]*\$|##[\w.\-]+##|@@[\w.\-]+@@|__[\w\-]+?__|«[\w. \-]+»?"
-    r"|<(?:[a-z]+[_\-])*(?:title|site|name|headline|heading|journal|document|paper|doc)(?:[_\-][a-z]+)*>|(?<!\w):[a-z_]+:(?!\w)"
-    r"|\[\s*(?:[a-z]+[ _])*(?:title|site|name|headline|heading|journal|document)(?:[ _][a-z]+)*\s*\]"
+    r"|<(?:[a-z]+[_\-.])*(?:title|site|name|headline|heading|journal|document|paper|doc)(?:[_\-.][a-z]+)*>|(?<!\w):[a-z_.]+:(?!\w)"
+    r"|\[\s*(?:[a-z]+[ _.])*(?:title|site|name|headline|heading|journal|document)(?:[ _][a-z]+)*\s*\]"
     r"|\b[a-z]+_(?:placeholder|title|headline|name)\b|\[object object\]",
     re.IGNORECASE,
 )
@@ -90,7 +90,7 @@ FILE = re.compile(
     re.IGNORECASE,
 )
 #: A site's name beside or in place of a title; a cut-off end counts.
-SITE = re.compile(r"^\w+ (?:library|librar|libra|libr|lib|li|online|onlin|onli|onl)$", re.IGNORECASE)
+SITE = re.compile(r"^\w+ (?:l|li|lib|libr|libra|librar|library|o|on|onl|onli|onlin|online)$", re.IGNORECASE)
 SEPARATOR = re.compile(r"\s+(?:\||-|–|—|::|»|·)(?:\s+|$)|^(?:\||::|»|·)\s+|\s\|$")
 
 
@@ -110,6 +110,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 _LATIN_WORDS = frozenset(LATIN.split())
+_PHRASES = sorted({" ".join(re.findall(r"[^\W\d_]+", p)) for p in re.split(r"[|\n]", PHRASES) if p.strip()})
 _WORDS = sorted({w for text in (PHRASES.replace("|", " "), FILLERS) for w in text.split()})
 #: A site's name that closes a message without a mark between.
 CLOSING_SITE = re.compile(r"\s\w+ (?:library|librar|libra|libr|online|onlin|onli|onl)$", re.IGNORECASE)
@@ -130,9 +131,9 @@ def coverage(text: str | None, sites: frozenset[str] = frozenset()) -> float:
     if text is None or not text.strip():
         return 0.0
     plain = re.sub(r"[\s ]+", " ", text).strip()
-    if " " not in plain:
-        plain = re.sub(r"(?<=[^\W_])_(?=[^\W_]|\|)|(?<=\|)_", " ", plain) if not PLACEHOLDER.search(plain) else plain
-        plain = re.sub(r"(?<=\w)_(?=\|)", " ", plain)
+    if " " not in plain and plain.count("_") > 1 and not re.fullmatch(PLACEHOLDER, plain):
+        # blanks written as underscores, those of markers such as __TITLE__ aside
+        plain = re.sub(r"(?<!_)_(?!_)", " ", plain)
     if FILE.match(plain):
         return 1.0
     parts = [p.strip() for p in SEPARATOR.split(plain)]
@@ -165,6 +166,14 @@ def coverage(text: str | None, sites: frozenset[str] = frozenset()) -> float:
         else:
             covered[end - length + 1 : end + 1] = b"\x01" * length
         strong |= is_phrase
+    # a phrase that the end of the text cuts off
+    for k in range(len(words)):
+        tail = " ".join(words[k:])
+        at = bisect_left(_PHRASES, tail)
+        if len(tail) >= 8 and at < len(_PHRASES) and _PHRASES[at].startswith(tail):
+            covered[len(single) - 1 - len(tail) : len(single) - 1] = b"\x01" * len(tail)
+            strong = True
+            break
     if not strong:
         return 0.0
     return sum(c for c, ch in zip(covered, single) if ch != " ") / max(1, sum(ch != " " for ch in single))

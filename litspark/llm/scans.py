@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 WORD, OUTNUMBERED, SHORT_OUTNUMBERED = 5, 60, 400
 #: Occurrences of a look-alike, or of a joined word, that make an unknown form or two pieces suspect.
 SUPPORT = 20
-#: Lines of at most this length are looked at as headers; a masked line is usual from this many occurrences.
-LINE, USUAL = 60, 12
+#: Lines of at most this length are looked at as headers; a masked line is usual from this many
+#: occurrences, and from this share of the texts.
+LINE, USUAL, USUAL_SHARE = 60, 12, 0.0008
 
 # Glyphs that recognition confuses, each as the strokes it is read as.
 _STROKES = str.maketrans(
@@ -129,9 +130,17 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if "\n" in text:
                 shapes.update(mask(line) for line in text.split("\n") if 0 < len(line) <= LINE and any(map(str.isdigit, line)))
         rows = [("w", w, n) for w, n in words.items()] + [("c", w, n) for w, n in compounds.items()] + [("s", w, n) for w, n in shapes.items()]
+        rows.append(("t", "", len(b)))
         yield pd.DataFrame(rows, columns=["kind", "name", "n"])
 
 
+def header_shape(shape: str) -> bool:
+    """Whether a masked line can be a header: a number, marks or names beside it, and hardly a word of text."""
+    return "#" in shape and shape[0] != "|" and max(shape) < "⺀" and not re.search(r"[.:;,]$", shape) and shape.count("w") <= 2 and bool(
+        re.search(r"[–—|/~\[\]]|  |\bName\b.*#", shape)
+    )
+
+
 def learn(texts: DataFrame) -> Lexicon:
     """The lexicon of all texts (one column, text).
 
@@ -142,10 +151,10 @@ def learn(texts: DataFrame) -> Lexicon:
     rows = texts.where("text is not null").mapInPandas(_tally, "kind string, name string, n long")
     counts = rows.groupBy("kind", "name").agg(F.sum("n").alias("n"))
     counts = counts.where(F.col("n") >= F.when(F.col("kind") == "s", USUAL).when(F.col("kind") == "c", 2).otherwise(WORD))
-    found: dict[str, dict[str, int]] = {"w": {}, "c": {}, "s": {}}
+    found: dict[str, dict[str, int]] = {"w": {}, "c": {}, "s": {}, "t": {"": 0}}
     for r in counts.toLocalIterator():
         found[r["kind"]][r["name"]] = r["n"]
-    shapes = frozenset(s for s in found["s"] if "#" in s and s[0] != "|" and not re.search(r"[.:;,]$", s) and re.search(r"[–—|/~\[\]]|  |\bName\b.*#", s))
+    shapes = frozenset(s for s, n in found["s"].items() if n >= USUAL_SHARE * found["t"][""] and header_shape(s))
     lexicon = Lexicon(found["w"], found["c"], shapes)
     rivals = {w for forms in lexicon.rivals().values() for w in forms}
     if rivals:

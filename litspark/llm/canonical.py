@@ -13,6 +13,8 @@ from litspark.sources.tables import written
 THRESHOLD, MARGIN = 0.5, 1
 #: Candidates are checked from this share of the best cosine of the value.
 NEAR = 0.65
+#: Entries of a list up to which its index is broadcast; a larger one is joined by shuffle.
+INDEX_BOUND = 50_000
 #: Words that carry no meaning in a venue name.
 EMPTY_WORDS = ("of", "on", "the", "in", "and", "de", "for", "la", "le", "der", "und", "et", "del", "f")
 
@@ -96,7 +98,11 @@ def map_values(
     norms = index.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     index = index.join(norms, "name").select("gram", "name", (F.col("w") * F.col("w") / F.col("norm")).alias("part"))
 
-    forms = typed.where("size(words) > 0").select("form", "words").distinct()
+    # few bytes make much work here, so the parts are set by the cores and not by their size
+    spark = values.sparkSession
+    parts = 4 * spark.sparkContext.defaultParallelism
+    forms = typed.where("size(words) > 0").select("form", "words").distinct().repartition(parts, "form")
+    index = F.broadcast(index) if count <= INDEX_BOUND else index
     asked = forms.select("form", F.explode(_grams(F.col("words"))).alias("gram"))
     asked_norms = (
         asked.join(weights, "gram", "left")
@@ -117,14 +123,16 @@ def map_values(
         .groupBy("form")
         .agg(F.sort_array(F.collect_list(F.struct("at", "word", F.coalesce("own", F.lit(False)).alias("own")))).alias("parts"))
     )
-    pairs = candidates.join(known, "form").join(names, "name")
+    pairs = candidates.join(known, "form").join(names, "name").repartition(parts, "form")
     cost = lambda c: F.array_min(F.array_compact(F.transform("parts", lambda p: _edits(p["word"], c, p["own"]))))
     pairs = pairs.withColumn("costs", F.transform("name_words", cost)).where("not exists(costs, c -> c is null)")
     meant = lambda p: F.exists("name_words", lambda c: _edits(p["word"], c, p["own"]).isNotNull())
     empty = lambda w: (F.length(w) < 3) | ((F.length(w) <= 4) & F.exists(misspelt, lambda e: F.levenshtein(w, e) <= 1))
     misspelt = F.array(*[F.lit(w) for w in EMPTY_WORDS])
     pairs = pairs.where(F.forall("parts", lambda p: empty(p["word"]) | meant(p)))
-    pairs = pairs.withColumn("edits", F.aggregate("costs", F.lit(0), lambda a, c: a + c))
+    # a typed word that stands for none of the entry's is an edit too
+    idle = F.size(F.filter("parts", lambda p: (F.length(p["word"]) >= 3) & ~meant(p)))
+    pairs = pairs.withColumn("edits", F.aggregate("costs", F.lit(0), lambda a, c: a + c) + idle)
     first = F.struct("edits", (-F.col("cosine")).alias("away"), "name")
     best = pairs.groupBy("form").agg(F.min(first).alias("best"), F.get(F.sort_array(F.collect_list("edits")), F.lit(1)).alias("next"))
     exact = F.col("best.edits") == 0

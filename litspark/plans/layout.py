@@ -27,11 +27,12 @@ def crop_boxes(spark, d):
     return layout.crops(_captions(spark, d), "table")
 
 
-@query(f"""SELECT id, k AS strip, y0 + k * 612 * 0.85 AS y0, least(y0 + k * 612 * 0.85 + CASE WHEN n > 1 THEN 612 ELSE y1 - y0 END, y1) AS y1 FROM (SELECT *, unnest(range(0, n)) AS k FROM
+@query(f"""SELECT id, k AS strip, round(CAST(y0 + k * 612 * 0.85 AS DOUBLE), 6) AS y0, round(CAST(least(y0 + k * 612 * 0.85 + CASE WHEN n > 1 THEN 612 ELSE y1 - y0 END, y1) AS DOUBLE), 6) AS y1 FROM (SELECT *, unnest(range(0, n)) AS k FROM
   (SELECT *, CASE WHEN y1 - y0 <= 612 THEN 1 ELSE CAST(ceil((y1 - y0 - 612) / (612 * 0.85)) + 1 AS BIGINT) END AS n FROM ({_CROPS % 'figure'})))""")
 def strip_split(spark, d):
     """Boxes below the captions of figures as strips."""
-    return layout.strips(layout.crops(_captions(spark, d), "figure"))
+    out = layout.strips(layout.crops(_captions(spark, d), "figure"))
+    return out.select("id", "strip", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
 
 
 _INTER = "greatest(least(a.bbox.x1, b.bbox.x1) - greatest(a.bbox.x0, b.bbox.x0), 0) * greatest(least(a.bbox.y1, b.bbox.y1) - greatest(a.bbox.y0, b.bbox.y0), 0)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litspark.functions import embedding
 from litspark.operators import vectors
 from litspark.plans.register import registrar
 from litspark.sources.tables import table
@@ -129,3 +130,14 @@ def live_semi_join(spark, d):
     """Chunks of items that are in the library and recent."""
     items = table(spark, d, "library_items").where("year >= 2015").select("item_key")
     return table(spark, d, "chunk_records").where("coalesce(section, '') <> ''").select("meta_id", "item_key").join(items, "item_key", "left_semi").select("meta_id", "item_key")
+
+
+@query()
+def passage_search(spark, d):
+    """The five passages nearest to every hundredth one, by hashed embeddings, weighed by section and venue."""
+    chunks = table(spark, d, "chunk_records").where("chunk_type = 'text' and document <> ''").select("meta_id", "item_key", "section", "document")
+    rows = embedding.embedded(chunks, "document")
+    hits = vectors.nearest(rows.select("meta_id", "embedding"), rows.where("meta_id % 100 = 0").select("meta_id", "embedding"), 5, "meta_id")
+    venues = table(spark, d, "library_items").select("item_key", F.col("journal_quartile").alias("quartile"))
+    named = hits.join(chunks.select(F.col("meta_id").alias("id"), "item_key", "section"), "id").join(venues, "item_key", "left")
+    return vectors.rerank(named).select("query_id", "id", "rank", "section", F.round("composite", 6).alias("composite"))

@@ -173,3 +173,13 @@ def test_inverted_index(spark):
     df = spark.createDataFrame([(1, "b a b  c"), (2, None)], "id long, t string")
     got = scholar.inverted_index(df, "id", "t").select("id", scholar.rebuilt(F.col("index")))
     assert rows(got) == [(1, "b a b c")]
+
+
+def test_embeddings(spark):
+    from litspark.functions import embedding
+
+    df = spark.createDataFrame([(1, "one two"), (2, "TWO one"), (3, ""), (4, None)], "id long, t string")
+    got = {r["id"]: list(r["embedding"]) for r in embedding.embedded(df, "t").collect()}
+    assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-5 and not any(got[3]) and not any(got[4])
+    with pytest.raises(Exception, match="expected 3 dimensions"):
+        embedding.embedded(df, "t").select(embedding.checked(F.col("embedding"), 3)).collect()

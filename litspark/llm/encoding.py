@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows from which the margin is validated, and the smoothing of the model.
 VALIDATION_ROWS, SMOOTHING, SYMBOLS = 2_000, 0.2, 400
+#: Gain from which a record may count as misread.
+LEAST_GAIN = 6.0
 # Encodings as which UTF-8 is misread, and pairs (read as, written in) of other misreadings.
 UTF8_READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "iso8859-15", "cp1254", "cp866")
 LATIN = (
@@ -96,6 +98,20 @@ def _double_byte(text: str, read_as: str, written_in: str) -> str:
     return re.sub("[^\x00-\x7f]+", run, text)
 
 
+#: Chains that change runs beyond ASCII one by one; the first hold for single sentences, the others for whole texts.
+RUN_CHAINS = LATIN + CYRILLIC + DOUBLE_BYTE + (("gb18030", "utf-8"),)
+BY_SENTENCE = len(LATIN + CYRILLIC)
+
+
+def _read_again(run: str, read_as: str, written_in: str) -> str:
+    """A run beyond ASCII as it reads in the encoding it was written in."""
+    if read_as == "gb18030":
+        return run.encode(read_as, "replace").decode(written_in, "replace")
+    if written_in == "gb18030":
+        return _double_byte(run, read_as, written_in)
+    return run.translate(_translation(read_as, written_in))
+
+
 def _codes(text: str) -> np.ndarray:
     """Code points, with the ideographs and syllables of East Asia as one symbol each and the rest below 2**16."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
@@ -118,52 +134,59 @@ class Model:
         single = self.keys < (1 << 16)
         self.total = np.zeros(1 << 16)
         self.total[self.keys[single]] = self.counts[single]
-        self.known: dict[str, tuple[float, bool]] = {}
+        self.known: dict[str, float] = {}
+        self.runs: dict[str, tuple[np.ndarray, bool]] = {}
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1) if len(self.keys) else np.zeros(len(keys), int)
         return np.where(self.keys[at] == keys, self.counts[at], 0.0) if len(self.keys) else np.zeros(len(keys))
 
-    def _pair(self, pair: str) -> tuple[float, bool]:
-        """(log probability less that of a plain pair, seldom) of two neighbouring characters, of which one is beyond ASCII."""
+    def _pair(self, pair: str) -> float:
+        """Log probability less that of a plain pair of two neighbouring characters, of which one is beyond ASCII."""
         a, b = map(int, _codes(pair))
         seen = float(self.lookup(np.array([((a + 1) << 16) | b]))[0])
         chance = float(np.log((seen + SMOOTHING) / (self.total[a] + SMOOTHING * SYMBOLS)))
         if b in (0x4E00, 0xAC00):
             chance -= self.EAST
-        seldom = seen <= 2 + 0.003 * (self.total[b] if b > 127 else self.total[a])
         if len(self.known) > 200_000:
             self.known.clear()
-        self.known[pair] = out = (chance - self.PLAIN, bool(seldom))
+        self.known[pair] = out = chance - self.PLAIN
         return out
 
-    def _pairs(self, text: str) -> Iterator[tuple[float, bool]]:
+    def _pairs(self, text: str) -> Iterator[float]:
         text = "\n" + text + "\n"
         for run in BEYOND.finditer(text):
             for i in range(run.start() - 1, run.end()):
                 pair = text[i : i + 2]
-                yield self.known.get(pair) or self._pair(pair)
+                known = self.known.get(pair)
+                yield self._pair(pair) if known is None else known
 
     def score(self, text: str) -> float:
         """Log probability of the text, each character after its predecessor; it begins and ends with a line break."""
-        return self.PLAIN * (len(text) + 1) + sum(x for x, _ in self._pairs(text))
-
-    def rare(self, text: str) -> tuple[int, int]:
-        """(seldom pairs, pairs) with a character beyond ASCII; seldom is a pair that few occurrences of its character make."""
-        found = [seldom for _, seldom in self._pairs(text)]
-        return sum(found), len(found)
-
-    def rare_texts(self, texts: list[str]) -> np.ndarray:
-        """Which of the texts have a seldom pair, all at once."""
-        c = _codes("\n" + "\n".join(texts) + "\n")
-        a, b = c[:-1], c[1:]
-        at = np.flatnonzero((a > 127) | (b > 127))
-        seen = self.lookup(((a[at] + 1) << 16) | b[at])
-        beyond = np.where(b[at] > 127, self.total[b[at]], self.total[a[at]])
-        ends = np.cumsum([len(x) + 1 for x in texts])
-        out = np.zeros(len(texts), bool)
-        out[np.minimum(np.searchsorted(ends, at[seen <= 2 + 0.003 * beyond], "right"), len(texts) - 1)] = True
-        return out
+        return self.PLAIN * (len(text) + 1) + sum(self._pairs(text))
+
+    def _run(self, around: str) -> tuple[np.ndarray, bool]:
+        """(gains, UTF-8) of a run beyond ASCII between its neighbours: what each of RUN_CHAINS adds to the score, and whether it may hold UTF-8."""
+        run = around[1:-1]
+        before, gains = self.score(around), np.zeros(len(RUN_CHAINS))
+        for k, chain in enumerate(RUN_CHAINS):
+            out = _read_again(run, *chain)
+            if out != run:
+                gains[k] = self.score(around[0] + out + around[-1]) - before - 4.0 * out.count("\ufffd")
+        if len(self.runs) > 200_000:
+            self.runs.clear()
+        self.runs[around] = known = (gains, _any_utf8().search(run) is not None)
+        return known
+
+    def gains(self, text: str) -> tuple[np.ndarray, bool]:
+        """(gains, UTF-8) of a text, the sums over its runs: no chain of RUN_CHAINS changes an ASCII character."""
+        text, whole, utf8 = "\n" + text + "\n", np.zeros(len(RUN_CHAINS)), False
+        for run in BEYOND.finditer(text):
+            around = text[run.start() - 1 : run.end() + 1]
+            known = self.runs.get(around) or self._run(around)
+            whole += known[0]
+            utf8 |= known[1]
+        return whole, utf8
 
 
 def count_pairs(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,15 +202,31 @@ def count_pairs(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"pair": np.concatenate((known, pairs)), "n": np.concatenate((single[known], n))})
 
 
+def _summed(texts: DataFrame, count) -> pd.Series:
+    return texts.mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").toPandas().set_index("pair")["n"]
+
+
 def train(records: DataFrame, text_col: str) -> Model:
-    """The model of all clean records: those without UTF-8 sequences read in another encoding and lost characters.
+    """The model of all clean records.
 
+    Records with UTF-8 sequences read in another encoding and lost characters are not counted at
+    all; those that the first model finds misread otherwise are taken out of the counts again.
     Its size is bounded by pairs of characters in use, East Asian ones being one symbol; pairs
     seen once carry no information and are left to the smoothing.
     """
     texts = records.select(F.col(text_col).alias("text")).where("text is not null")
-    counts = texts.mapInPandas(count_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    return Model(counts["pair"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
+    counts = _summed(texts, count_pairs)
+    first = Model(counts.index.to_numpy(np.int64), counts.to_numpy(np.int64))
+
+    def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [best_chain(t, first)[2] >= LEAST_GAIN for t in b["text"]]
+            if any(found):
+                yield from count_pairs(iter([b[found]]))
+
+    counts = counts.sub(_summed(texts.where(F.col("text").rlike("[^\\x00-\\x7f]")), misread), fill_value=0)
+    counts = counts[counts > 1]
+    return Model(counts.index.to_numpy(np.int64), counts.to_numpy(np.int64))
 
 
 def candidates(text: str) -> Iterator[tuple[str, str]]:
@@ -205,51 +244,30 @@ def candidates(text: str) -> Iterator[tuple[str, str]]:
                         yield f"utf-8 read twice as {again}, then as {codec}", thrice
 
 
-def _double_bytes(text: str) -> Iterator[tuple[str, str]]:
-    for read_as, written_in in DOUBLE_BYTE:
-        out = _double_byte(text, read_as, written_in)
-        if out != text:
-            yield f"{written_in} read as {read_as}", out
-    if re.search("[㐀-鿿]", text):
-        out = re.sub("[^\x00-\x7f]+", lambda m: m[0].encode("gb18030", "replace").decode("utf-8", "replace"), text)
-        if out != text:
-            yield "utf-8 read as gb18030", out
-
-
 def best_chain(text: str, model: Model) -> tuple[str | None, str, float]:
-    """(chain, text, gain in log probability) of the likeliest reading; a chain between single-byte codecs may hold for some sentences."""
-    base = model.score(text)
+    """(chain, text, gain in log probability) of the likeliest reading; every chain is scored, one between single-byte codecs by sentences."""
+    whole, utf8 = model.gains(text)
     best = (None, text, 0.0)
-    for chain, out in candidates(text):
-        gain = model.score(out) - base - 4.0 * out.count("�")
+    base = model.score(text) if utf8 else 0.0
+    for chain, out in candidates(text) if utf8 else ():
+        gain = model.score(out) - base - 4.0 * out.count("\ufffd")
         if gain > best[2]:
             best = (chain, out, gain)
+    east = re.search("[㐀-鿿]", text) is not None
+    for k in range(BY_SENTENCE, len(RUN_CHAINS)):
+        read_as, written_in = RUN_CHAINS[k]
+        if whole[k] > best[2] and (east or read_as != "gb18030"):
+            best = (f"{written_in} read as {read_as}", BEYOND.sub(lambda m: _read_again(m[0], read_as, written_in), text), float(whole[k]))  # noqa: B023
     parts = [p for p in _SENTENCE.findall(text) if p]
-    odd = [p for p, (few, n) in zip(parts, map(model.rare, parts)) if few >= 4 or 3 * few >= max(1, n)]
-    for chain, out in _double_bytes(text) if odd else ():
-        gain = model.score(out) - base - 4.0 * out.count("�")
-        if gain > best[2]:
-            best = (chain, out, gain)
-    joined = "".join(odd)
-    letters = [c for c in joined if c.isalpha()]
-    beyond = sum(c > "\x7f" for c in letters)
-    # a text in Cyrillic script is spoilt in most of its letters
-    chains = (LATIN if beyond < 0.9 * len(letters) else ()) + (CYRILLIC if beyond > 0.4 * len(letters) else ())
-    before = model.score(joined)
-    for read_as, written_in in chains if odd else ():
-        table, new, gain = _translation(read_as, written_in), {}, 0.0
-        whole = joined.translate(table)
-        if whole == joined or (len(odd) == 1 and model.score(whole) - before <= 4.0):
-            continue
-        for part in odd:
-            out = part.translate(table)
-            more = model.score(out) - model.score(part) if out != part else 0.0
-            # a sentence counts as a whole
-            if more > 4.0:
-                new[part] = out
-                gain += more
-        if gain > best[2]:
-            best = (f"{written_in} read as {read_as}", "".join(new.get(p, p) for p in parts), gain)
+    more = np.array([model.gains(p)[0][:BY_SENTENCE] for p in parts]).reshape(len(parts), BY_SENTENCE)
+    # a sentence counts as a whole
+    more[more <= 4.0] = 0.0
+    sums = more.sum(axis=0)
+    k = int(sums.argmax())
+    if sums[k] > best[2]:
+        read_as, written_in = RUN_CHAINS[k]
+        table = _translation(read_as, written_in)
+        best = (f"{written_in} read as {read_as}", "".join(p.translate(table) if x > 0 else p for p, x in zip(parts, more[:, k])), float(sums[k]))
     return best
 
 
@@ -260,7 +278,7 @@ def validated_margin(records: DataFrame, text_col: str, model: Model, rows: int
     gain of a clean record (but for 1 in 1000) and the low end of the spoilt ones, 6 at least.
     """
     texts = records.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).limit(rows)
-    clean = [r["text"] for r in texts.collect() if not suspicious(r["text"]) and not model.rare(r["text"])[0]]
+    clean = [r["text"] for r in texts.collect() if not suspicious(r["text"]) and best_chain(r["text"], model)[2] < LEAST_GAIN]
     false, true = [0.0], []
     for k, text in enumerate(clean):
         false.append(best_chain(text, model)[2])
@@ -287,11 +305,8 @@ def find_garbled(records: DataFrame, id_col: str, text_col: str, model: Model |
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            rare = model.rare_texts(list(b["text"])) if len(b) else []
-            for i, text, few in zip(b["id"], b["text"], rare):
+            for i, text in zip(b["id"], b["text"]):
                 lost = LOST.search(text) is not None
-                if not lost and not few:
-                    continue
                 chain, restored, gain = best_chain(text, model)
                 if gain >= margin:
                     out.append((i, chain, restored, gain))

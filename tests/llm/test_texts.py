@@ -50,6 +50,17 @@ def test_garbled_records(spark):
     assert encoding.find_garbled(empty, "meta_id", "document").count() == 0
 
 
+def test_misreadings_that_recur(spark):
+    # every pair of the misread text stands often enough to look usual
+    bad = spoil(CLEAN[4], "cp1252", "cp1250")
+    rows = [(i, t) for i, t in enumerate(CLEAN * 400)] + [(10_000 + i, bad) for i in range(40)]
+    df = spark.createDataFrame(rows, "meta_id long, document string")
+    m = encoding.train(df, "document")
+    got = encoding.find_garbled(df, "meta_id", "document", m).collect()
+    assert sorted(r["id"] for r in got) == list(range(10_000, 10_040))
+    assert {r["restored"] for r in got} == {CLEAN[4]}
+
+
 WORDS = "the question remains whether turbine north mineral figures from transformed sediment well mixed reading change".split()
 
 

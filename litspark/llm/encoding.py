@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -11,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows from which the margin is validated, and the smoothing of the model.
-VALIDATION_ROWS, SMOOTHING, SYMBOLS = 2_000, 0.2, 400
+#: The smoothing of the model.
+SMOOTHING, SYMBOLS = 0.2, 400
 #: Gain from which a record may count as misread.
 LEAST_GAIN = 6.0
 # Encodings as which UTF-8 is misread, and pairs (read as, written in) of other misreadings.
@@ -24,6 +25,8 @@ LATIN = (
 CYRILLIC = (("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"))
 DOUBLE_BYTE = (("cp1252", "gb18030"), ("cp1251", "gb18030"), ("mac_roman", "gb18030"))
 BEYOND = re.compile("[^\x00-\x7f]+")
+#: Runs beyond ASCII with the characters beside; one may stand between two.
+AROUND = re.compile("(?=([\x00-\x7f][^\x00-\x7f]+[\x00-\x7f]))")
 LOST = re.compile("[�\x80-\x84\x86-\x9f]")
 
 
@@ -135,7 +138,7 @@ class Model:
         self.total = np.zeros(1 << 16)
         self.total[self.keys[single]] = self.counts[single]
         self.known: dict[str, float] = {}
-        self.runs: dict[str, tuple[np.ndarray, bool]] = {}
+        self.runs: dict[str, tuple[np.ndarray, bool, float]] = {}
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1) if len(self.keys) else np.zeros(len(keys), int)
@@ -165,8 +168,9 @@ class Model:
         """Log probability of the text, each character after its predecessor; it begins and ends with a line break."""
         return self.PLAIN * (len(text) + 1) + sum(self._pairs(text))
 
-    def _run(self, around: str) -> tuple[np.ndarray, bool]:
-        """(gains, UTF-8) of a run beyond ASCII between its neighbours: what each of RUN_CHAINS adds to the score, and whether it may hold UTF-8."""
+    def _run(self, around: str) -> tuple[np.ndarray, bool, float]:
+        """(gains, UTF-8, most) of a run beyond ASCII between its neighbours: what each of RUN_CHAINS adds to the score,
+        whether it may hold UTF-8, and the most that any of the chains adds."""
         run = around[1:-1]
         before, gains = self.score(around), np.zeros(len(RUN_CHAINS))
         for k, chain in enumerate(RUN_CHAINS):
@@ -175,18 +179,13 @@ class Model:
                 gains[k] = self.score(around[0] + out + around[-1]) - before - 4.0 * out.count("\ufffd")
         if len(self.runs) > 200_000:
             self.runs.clear()
-        self.runs[around] = known = (gains, _any_utf8().search(run) is not None)
+        self.runs[around] = known = (gains, _any_utf8().search(run) is not None, max(0.0, float(gains.max())))
         return known
 
-    def gains(self, text: str) -> tuple[np.ndarray, bool]:
-        """(gains, UTF-8) of a text, the sums over its runs: no chain of RUN_CHAINS changes an ASCII character."""
-        text, whole, utf8 = "\n" + text + "\n", np.zeros(len(RUN_CHAINS)), False
-        for run in BEYOND.finditer(text):
-            around = text[run.start() - 1 : run.end() + 1]
-            known = self.runs.get(around) or self._run(around)
-            whole += known[0]
-            utf8 |= known[1]
-        return whole, utf8
+    def run_gains(self, text: str) -> list[tuple[np.ndarray, bool, float]]:
+        """The gains of a text's runs in order; no chain changes an ASCII character, so that a text's gain is their sum."""
+        known = self.runs.get
+        return [known(around) or self._run(around) for around in AROUND.findall("\n" + text + "\n")]
 
 
 def count_pairs(texts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +219,7 @@ def train(records: DataFrame, text_col: str) -> Model:
 
     def misread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [best_chain(t, first)[2] >= LEAST_GAIN for t in b["text"]]
+            found = [best_chain(t, first, LEAST_GAIN)[2] >= LEAST_GAIN for t in b["text"]]
             if any(found):
                 yield from count_pairs(iter([b[found]]))
 
@@ -244,22 +243,34 @@ def candidates(text: str) -> Iterator[tuple[str, str]]:
                         yield f"utf-8 read twice as {again}, then as {codec}", thrice
 
 
-def best_chain(text: str, model: Model) -> tuple[str | None, str, float]:
-    """(chain, text, gain in log probability) of the likeliest reading; every chain is scored, one between single-byte codecs by sentences."""
-    whole, utf8 = model.gains(text)
+def best_chain(text: str, model: Model, least: float = 0.0) -> tuple[str | None, str, float]:
+    """(chain, text, gain in log probability) of the likeliest reading; every chain is scored, one between single-byte codecs by sentences.
+
+    Texts that no chain can lift to ``least`` are left as they are.
+    """
+    runs = model.run_gains(text)
+    utf8 = any(u for _, u, _ in runs)
     best = (None, text, 0.0)
     base = model.score(text) if utf8 else 0.0
     for chain, out in candidates(text) if utf8 else ():
         gain = model.score(out) - base - 4.0 * out.count("\ufffd")
         if gain > best[2]:
             best = (chain, out, gain)
+    most = sum(m for _, _, m in runs)
+    if most <= best[2] or most < least:
+        return best
+    gains = np.array([g for g, _, _ in runs])
+    whole = gains.sum(axis=0)
     east = re.search("[㐀-鿿]", text) is not None
     for k in range(BY_SENTENCE, len(RUN_CHAINS)):
         read_as, written_in = RUN_CHAINS[k]
         if whole[k] > best[2] and (east or read_as != "gb18030"):
             best = (f"{written_in} read as {read_as}", BEYOND.sub(lambda m: _read_again(m[0], read_as, written_in), text), float(whole[k]))  # noqa: B023
     parts = [p for p in _SENTENCE.findall(text) if p]
-    more = np.array([model.gains(p)[0][:BY_SENTENCE] for p in parts]).reshape(len(parts), BY_SENTENCE)
+    ends = np.cumsum([len(p) for p in parts])
+    of = np.searchsorted(ends, [m.start() for m in BEYOND.finditer(text)], "right")
+    more = np.zeros((len(parts), BY_SENTENCE))
+    np.add.at(more, of, gains[:, :BY_SENTENCE])
     # a sentence counts as a whole
     more[more <= 4.0] = 0.0
     sums = more.sum(axis=0)
@@ -271,27 +282,45 @@ def best_chain(text: str, model: Model) -> tuple[str | None, str, float]:
     return best
 
 
-def validated_margin(records: DataFrame, text_col: str, model: Model, rows: int = VALIDATION_ROWS) -> float:
+def _spoilt(text: str) -> str:
+    """The text spoilt by a known chain that its own characters choose among those that change it."""
+    chains = [("utf-8", c) for c in UTF8_READ_AS] + [(w, r) for r, w in LATIN + CYRILLIC + DOUBLE_BYTE]
+    turn = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    for k in range(len(chains)):
+        written_in, read_as = chains[(turn + k) % len(chains)]
+        chars = _table(read_as)[0]
+        try:
+            new = "".join(c if ord(c) < 128 else "".join(chars[x] for x in c.encode(written_in)) for c in text)
+        except UnicodeEncodeError:
+            continue
+        if new != text:
+            return new
+    return text
+
+
+def validated_margin(records: DataFrame, text_col: str, model: Model) -> float:
     """The gain that parts clean records from the same records spoilt by a known chain.
 
-    From at most ``rows`` clean records with characters beyond ASCII; half-way between the highest
-    gain of a clean record (but for 1 in 1000) and the low end of the spoilt ones, 6 at least.
+    From all records with characters beyond ASCII that are clean, that is, not suspicious and
+    without a gain of LEAST_GAIN; half-way between the highest gain of a clean record (but for
+    1 in 1000) and the low end of the spoilt ones, LEAST_GAIN at least.
     """
-    texts = records.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).limit(rows)
-    clean = [r["text"] for r in texts.collect() if not suspicious(r["text"]) and best_chain(r["text"], model)[2] < LEAST_GAIN]
-    false, true = [0.0], []
-    for k, text in enumerate(clean):
-        false.append(best_chain(text, model)[2])
-        codec = UTF8_READ_AS[k % 4]
-        chars = _table(codec)[0]
-        spoilt = "".join(c if ord(c) < 128 else "".join(chars[x] for x in c.encode("utf-8")) for c in text)
-        true.append(best_chain(spoilt, model)[2])
-    if not true:
-        return 6.0
-    return max(6.0, (float(np.quantile(false, 0.999)) + float(np.quantile(true, 0.001))) / 2)
-
-
-def find_garbled(records: DataFrame, id_col: str, text_col: str, model: Model | None = None, margin: float = 6.0) -> DataFrame:
+    texts = records.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
+
+    def gains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for text in b["text"]:
+                false = best_chain(text, model)[2]
+                if false < LEAST_GAIN and not suspicious(text):
+                    out.append((false, best_chain(_spoilt(text), model)[2]))
+            yield pd.DataFrame(out, columns=["false", "true"])
+
+    ends = texts.mapInPandas(gains, "false double, true double").agg(F.percentile_approx("false", 0.999, 10_000), F.percentile_approx("true", 0.001, 10_000)).first()
+    return LEAST_GAIN if ends[0] is None else max(LEAST_GAIN, (ends[0] + ends[1]) / 2)
+
+
+def find_garbled(records: DataFrame, id_col: str, text_col: str, model: Model | None = None, margin: float = LEAST_GAIN) -> DataFrame:
     """(id, chain, restored, gain) of the records that hold wrongly decoded text.
 
     ``chain`` names the likeliest chain of encodings and ``restored`` the text it gives; where
@@ -307,7 +336,7 @@ def find_garbled(records: DataFrame, id_col: str, text_col: str, model: Model |
             out = []
             for i, text in zip(b["id"], b["text"]):
                 lost = LOST.search(text) is not None
-                chain, restored, gain = best_chain(text, model)
+                chain, restored, gain = best_chain(text, model, margin)
                 if gain >= margin:
                     out.append((i, chain, restored, gain))
                 elif lost:

@@ -1,6 +1,7 @@
 """Problems 3, 4 and 6: round trips, repairs, and look-alikes that are none."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from litspark.llm import encoding, scans, templates
 
@@ -61,6 +62,17 @@ def test_misreadings_that_recur(spark):
     assert {r["restored"] for r in got} == {CLEAN[4]}
 
 
+def test_margin_of_all_records(spark):
+    # the first rows are rich in letters beyond ASCII, the others have one each
+    light = "One light word with an é is all that this record holds beyond the plain letters."
+    rows = [(i, CLEAN[3]) for i in range(3_000)] + [(i, light) for i in range(3_000, 4_000)] + [(5_000, spoil(light, "cp1252"))]
+    df = spark.createDataFrame(rows, "meta_id long, document string").coalesce(1)
+    m = encoding.train(df, "document")
+    margin = encoding.validated_margin(df, "document", m)
+    assert margin == encoding.validated_margin(df.orderBy(F.desc("meta_id")), "document", m)
+    assert [r["restored"] for r in encoding.find_garbled(df, "meta_id", "document", m, margin).collect()] == [light]
+
+
 WORDS = "the question remains whether turbine north mineral figures from transformed sediment well mixed reading change".split()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -106,9 +107,10 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def venue_lookup(names: DataFrame, name_col: str, dim: DataFrame, key_col: str, value_col: str, cutoff: float = 90.0) -> DataFrame:
     """(name, value, tier) of each distinct name: exact key, abbreviations written out, else the most alike entry from ``cutoff``.
 
-    Alike entries share their first four letters or their last six; of these, those with a
-    Levenshtein distance that the cutoff allows are scored by the exact ratio. Ties go to the
-    first entry in order.
+    An alike name holds one of an entry's segments, near its place: an entry has one segment more
+    than the insertions and deletions that the cutoff allows at any length of the name, so that
+    none is lost. Of these, those with a Levenshtein distance that the cutoff allows are scored by
+    the exact ratio. Ties go to the first entry in order.
     """
     named = names.select(F.col(name_col).alias("name")).where("name is not null").distinct()
     keyed = named.withColumn("key", venue_key(F.col("name"))).withColumn("long", expanded(F.col("name")))
@@ -117,10 +119,20 @@ def venue_lookup(names: DataFrame, name_col: str, dim: DataFrame, key_col: str,
     rest = keyed.join(exact, "name", "left_anti")
     short = rest.join(dim, F.col("long") == F.col("entry")).select("name", "value", F.lit(2).alias("tier"))
     rest = rest.join(short, "name", "left_anti")
-    blocks = lambda c: F.explode(F.array(F.concat(F.lit("a"), F.substring(c, 1, 4)), F.concat(F.lit("z"), F.substring(c, -6, 6)))).alias("block")
-    near = rest.select("name", "long", blocks("long")).join(dim.select("entry", "value", blocks("entry")), "block").select("name", "long", "entry", "value").distinct()
+    if cutoff >= 100:
+        return exact.unionByName(short)
+    edits = F.floor(F.length("entry") * (2 * (100 - cutoff) / cutoff) + 1e-9).cast("int")
+    segments = F.expr("""if(edits >= length(entry), array(struct('' AS part, 0 AS at)), transform(sequence(0, edits), i -> struct(
+        substring(entry, cast(i * length(entry) div (edits + 1) AS int) + 1, cast((i + 1) * length(entry) div (edits + 1) - i * length(entry) div (edits + 1) AS int)) AS part,
+        cast(i * length(entry) div (edits + 1) AS int) AS at)))""")
+    entries = dim.where("entry <> ''").withColumn("edits", edits).select("entry", "value", "edits", F.inline(segments))
+    longest = math.ceil(cutoff / (2 * (100 - cutoff)))
+    pieces = F.expr(f"""concat(array(struct('' AS part, 0 AS place)), flatten(transform(sequence(1, {longest}), n -> transform(
+        filter(sequence(0, length(long)), p -> p + n <= length(long)), p -> struct(substring(long, p + 1, n) AS part, p AS place)))))""")
+    near = rest.select("name", "long", F.inline(pieces)).join(entries, "part").where(F.abs(F.col("at") - F.col("place")) <= F.col("edits"))
     most = F.floor((F.length("long") + F.length("entry")) * (100 - cutoff) / 100).cast("int")
-    near = near.where(F.levenshtein("long", "entry") <= most).withColumn("ratio", indel_ratio("long", "entry")).where(F.col("ratio") >= cutoff)
+    near = near.withColumn("most", most).where("abs(length(long) - length(entry)) <= most").select("name", "long", "entry", "value", "most").distinct()
+    near = near.where("levenshtein(long, entry, most) >= 0").withColumn("ratio", indel_ratio("long", "entry")).where(F.col("ratio") >= cutoff)
     fuzzy = near.groupBy("name").agg(F.min_by("value", F.struct(-F.col("ratio"), "entry")).alias("value")).select("name", "value", F.lit(3).alias("tier"))
     return exact.unionByName(short).unionByName(fuzzy)
 

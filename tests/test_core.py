@@ -1,5 +1,7 @@
 """Small cases of the core operators: nulls, empty tables, ties, repeated rows, odd parameters."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +171,39 @@ def test_venues(spark):
     assert got == {"Nature": ("Q1", 1), "J. of Appl. Res.": ("Q1", 2), "Applied Sciencess": ("Q3", 3)}
 
 
+def test_venues_alike_as_by_brute_force(spark):
+    entries = ["annals of subalpine biology", "archives of pollen chemistry", "nature", "cell", "journal of applied sciences", "journal of applied science letters"]
+    cut = random.Random(5)
+    names = ["annlas of subalpine biollogy", "arhcives of pollen chemistty"]
+    for k in range(200):
+        name = list(entries[k % len(entries)])
+        for _ in range(cut.randint(1, 3)):
+            at = cut.randrange(len(name))
+            name[at : at + 1] = cut.choice(([], ["x"], [name[at], "y"], [name[at]] * 2))
+        names.append("".join(name))
+    names = [n for n in dict.fromkeys(names) if n not in entries and n == n.strip()]
+
+    def ratio(x, y):
+        row = [0] * (len(y) + 1)
+        for ch in x:
+            before = 0
+            for k, other in enumerate(y, 1):
+                before, row[k] = row[k], before + 1 if ch == other else max(row[k], row[k - 1])
+        return 200.0 * row[-1] / (len(x) + len(y))
+
+    best = {n: min((-ratio(n, e), e) for e in entries) for n in names}
+    dim = spark.createDataFrame([(e, e) for e in entries], "title_normalized string, quartile string")
+    got = scholar.venue_lookup(spark.createDataFrame([(n,) for n in names], "journal string"), "journal", dim, "title_normalized", "quartile")
+    assert {r["name"]: r["value"] for r in got.collect()} == {n: e for n, (r, e) in best.items() if -r >= 90}
+
+
+def test_overlaps_of_frequent_words(spark):
+    left = spark.createDataFrame([(i, ["river", "delta", f"only{i}"]) for i in range(30)] + [(99, ["river"]), (98, [])], "a long, words array<string>")
+    right = spark.createDataFrame([(i, ["delta", "basin", "river"]) for i in range(30)] + [(99, ["delta"])], "b long, words array<string>")
+    got = rows(fulltext.overlaps(left, right, "a", "b", "words", 2), "a", "b")
+    assert got == [(a, b, 2) for a in range(30) for b in range(30)]
+
+
 def test_inverted_index(spark):
     df = spark.createDataFrame([(1, "b a b  c"), (2, None)], "id long, t string")
     got = scholar.inverted_index(df, "id", "t").select("id", scholar.rebuilt(F.col("index")))

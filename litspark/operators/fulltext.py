@@ -22,3 +22,23 @@ def all_words(index: DataFrame, words: list[str]) -> DataFrame:
     """(id): documents with all the words, by relational division."""
     wanted = sorted({w.lower() for w in words})
     return any_word(index, wanted).where(F.col("hits") == len(wanted)).select("id")
+
+
+def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: int) -> DataFrame:
+    """(left_id, right_id, overlap): all pairs of rows with ``least`` distinct words in common; ids are distinct.
+
+    Words are ordered by rarity. Of two rows with ``least`` words in common, one is among all but
+    the ``least`` - 1 most frequent words of either row, so that only these are joined; pairs are
+    counted once, at their first common word.
+    """
+    counts = left.select(F.explode(words).alias("w")).unionByName(right.select(F.explode(words).alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
+
+    def ordered(df: DataFrame, key: str, name: str) -> DataFrame:
+        rows = df.where(F.size(words) >= least).select(key, F.explode(words).alias("w")).join(counts, "w")
+        rows = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias(name))
+        return rows.select(key, name, F.explode(F.slice(F.col(name), F.lit(1), F.size(name) - (least - 1))).alias("w"))
+
+    pairs = ordered(left, left_id, "_a").join(ordered(right, right_id, "_b"), "w")
+    common = F.array_intersect("_a", "_b")
+    pairs = pairs.where((F.size(common) >= least) & (common[0] == F.col("w")))
+    return pairs.select(left_id, right_id, F.size(common).cast("long").alias("overlap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litspark.functions import text
-from litspark.operators import chunking
+from litspark.operators import chunking, fulltext
 from litspark.plans.register import registrar
 from litspark.sources.tables import table
 
@@ -174,6 +174,14 @@ def title_tokens_overlap(spark, d):
     return pairs.where("overlap >= 2")
 
 
+@query(f"""WITH t AS (SELECT work_id, unnest({_TOKENS}) AS w FROM crossref_works), i AS (SELECT item_key, unnest({_TOKENS}) AS w FROM library_items)
+  SELECT item_key, work_id, count(*) AS overlap FROM i JOIN t USING (w) GROUP BY 1, 2 HAVING count(*) >= 2""")
+def title_overlap(spark, d):
+    """Items and works with two title words in common, however frequent the words are."""
+    of = lambda t, k: table(spark, d, t).select(k, text.title_tokens(F.col("title")).alias("words"))
+    return fulltext.overlaps(of("library_items", "item_key"), of("crossref_works", "work_id"), "item_key", "work_id", "words", 2)
+
+
 @query("""SELECT work_id, trim(regexp_replace(regexp_replace(title, '<[^<>]*>', '', 'g'), '\\s+', ' ', 'g')) AS title FROM crossref_works""")
 def strip_markup(spark, d):
     """Titles without markup."""

@@ -94,14 +94,14 @@ def budgets(leaves: dict[tuple, tuple[float, float]], total: float) -> dict[tupl
 
 def mix(
     documents: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, seed: int = 42,
-    tokenizer: str = TOKENIZER,
+    tokenizer: str = TOKENIZER, times: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of documents (id, text, source, lang) mixed to weights (source, target_share, max_repeats).
 
     Selection: (id, source, copies), the documents to take and how often. Report: (source,
     target_share, actual_share, tokens_available, tokens_taken, documents, most_copies). Without
-    ``total`` the mixture is the largest in which every source that has tokens reaches its share;
-    a larger total lets small sources fall short, and siblings take over. Whole epochs of a leaf
+    ``total`` the mixture is ``times`` the largest in which every source that has tokens reaches
+    its share; a larger total lets small sources fall short, and siblings take over. Whole epochs of a leaf
     repeat all its documents; the last one takes the longest prefix, in an order seeded by the
     epoch, that fits the budget. Sources without a weight are left out, sources without documents
     report 0; null and odd languages are "und"; documents without tokens are never taken;
@@ -119,7 +119,7 @@ def mix(
     for (_, source), n in sums.items():
         of_source[source] = of_source.get(source, 0) + n
     if total is None:
-        total = min((n * wanted[s][1] / wanted[s][0] for s, n in of_source.items() if wanted[s][0] > 0), default=0.0)
+        total = times * min((n * wanted[s][1] / wanted[s][0] for s, n in of_source.items() if wanted[s][0] > 0), default=0.0)
     leaves = {
         (DOMAINS.get(s, s), lang, s): (wanted[s][0] * n / of_source[s], float(n * wanted[s][1])) for (lang, s), n in sums.items()
     }

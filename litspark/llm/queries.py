@@ -166,6 +166,11 @@ def p9_mix_fixed_total(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "source_weights"), total=5_000_000)[1]
 
 
+def p9_mix_short_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached at three times the largest mixture without shortage, so that small sources fall short at any size of the data."""
+    return mix(table(spark, d, "documents"), table(spark, d, "source_weights"), times=3.0)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with a common span of at least 300 characters."""
     pairs = shared_pairs(shared_windows(table(spark, d, "documents"), "doc_id", "text"))
@@ -185,6 +190,6 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_mix_selection": p9_mix_selection, "p9_mix_shares": p9_mix_shares, "p9_mix_fixed_total": p9_mix_fixed_total,
+QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_mix_selection": p9_mix_selection, "p9_mix_shares": p9_mix_shares, "p9_mix_fixed_total": p9_mix_fixed_total, "p9_mix_short_shares": p9_mix_short_shares,
     "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

@@ -120,3 +120,12 @@ def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "<|endoftext|>")], "id long, text string")
     got = {r["id"]: r["tokens"] for r in mixing.token_counts(df, "id", "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1
+
+
+def test_shortage_at_any_size(spark):
+    weights = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats long")
+    for size in (1, 10):
+        docs = [(i, f"word{i} " * 50, "a" if i < 10 * size else "b", "en") for i in range(60 * size)]
+        df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+        shares = {r["source"]: r["actual_share"] for r in mixing.mix(df, weights, times=3.0)[1].collect()}
+        assert shares["a"] < 0.4 and shares["b"] > 0.6, (size, shares)

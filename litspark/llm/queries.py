@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from litspark.llm.canonical import map_values
 from litspark.llm.consensus import cell_readings, consensus
-from litspark.llm.copies import copy_groups
-from litspark.llm.encoding import find_garbled, train, validated_margin
-from litspark.llm.identifiers import with_identifier_keys
+from litspark.llm.copies import copy_groups, count_copies
+from litspark.llm.encoding import find_garbled
+from litspark.llm.identifiers import record_key, with_identifier_keys
 from litspark.llm.leaks import find_leaks
 from litspark.llm.matching import match_records
 from litspark.llm.mixing import mix
@@ -21,8 +21,7 @@ from litspark.sources.tables import table
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunk_records")
-    model = train(chunks, "document")
-    return find_garbled(chunks, "meta_id", "document", model, validated_margin(chunks, "document", model))
+    return find_garbled(chunks, "meta_id", "document", margin=None)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,17 +91,42 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return results.join(found, "result_id", "left_anti").select("result_id", "doi", "publisher", "result_title")
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Members of groups of copies by DOI or arXiv id, in each of the two tables."""
+def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     works = table(spark, d, "crossref_works").select(
         F.lit("crossref_works").alias("rec_table"), F.col("work_id").alias("rec_id"), "doi", F.lit(None).cast("string").alias("arxiv_id")
     )
     candidates = table(spark, d, "ingest_candidates").select(
         F.lit("ingest_candidates").alias("rec_table"), F.col("candidate_id").alias("rec_id"), "doi", "arxiv_id"
     )
-    both = with_identifier_keys(works.unionByName(candidates), "keys", "doi", "arxiv_id")
-    groups = copy_groups(both, "rec_id", F.col("keys"), scope=F.col("rec_table"))
-    return groups.select(F.col("scope").alias("rec_table"), "rec_id", "first_id")
+    both = works.unionByName(candidates)
+    groups = copy_groups(with_identifier_keys(both, "keys", "doi", "arxiv_id"), "rec_id", F.col("keys"), scope=F.col("rec_table"))
+    return both, groups.select(F.col("scope").alias("rec_table"), "rec_id", "first_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of groups of copies by DOI or arXiv id, in each of the two tables."""
+    return _copies(spark, d)[1]
+
+
+def p7_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    """One record for each publication, with its number of copies; a record that names nothing stands for itself."""
+    both, groups = _copies(spark, d)
+    whole = both.select("rec_table", "rec_id").join(groups, ["rec_table", "rec_id"], "left")
+    first = F.coalesce("first_id", "rec_id").alias("first_id")
+    return whole.groupBy("rec_table", first).agg(F.count("*").alias("copies"))
+
+
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    """Captions and titles that stand more than once but for formatting: (rec_table, first_id, copies)."""
+    works = table(spark, d, "crossref_works").select(
+        F.lit("crossref_works").alias("rec_table"), F.col("work_id").alias("rec_id"), record_key(F.col("title"), F.col("journal")).alias("key")
+    )
+    captions = table(spark, d, "detected_captions").select(
+        F.lit("detected_captions"), "caption_id", record_key(F.col("item_key"), F.col("caption_type"), F.col("text"))
+    )
+    rows = works.union(captions).withColumn("key", F.concat_ws("\u001e", "rec_table", "key"))
+    found = count_copies(rows, "rec_id", F.col("key")).where("copies > 1")
+    return found.select(F.substring_index("key", "\u001e", 1).alias("rec_table"), "first_id", "copies")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -190,6 +214,6 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p8_found": p8_found, "p8_report": p8_report, "p9_mix_selection": p9_mix_selection, "p9_mix_shares": p9_mix_shares, "p9_mix_fixed_total": p9_mix_fixed_total, "p9_mix_short_shares": p9_mix_short_shares,
+QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p7_records": p7_records, "p8_found": p8_found, "p8_report": p8_report, "p9_mix_selection": p9_mix_selection, "p9_mix_shares": p9_mix_shares, "p9_mix_fixed_total": p9_mix_fixed_total, "p9_mix_short_shares": p9_mix_short_shares,
     "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

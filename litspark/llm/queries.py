@@ -131,14 +131,14 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The agreed text of each cell that is read in at least two ways."""
-    cells, _ = consensus(cell_readings(table(spark, d, "vision_agent_results")))
+    cells, _ = consensus(cell_readings(table(spark, d, "vision_agent_results")), unique=True)
     return cells.where("labels > 1").select("table_id", "row_idx", "col_idx", F.col("label").alias("cell_text"))
 
 
 def p1_reliability(spark: SparkSession, d: str) -> DataFrame:
     """Reliability of each reader beside the accuracy it reports of itself."""
     results = table(spark, d, "vision_agent_results")
-    _, readers = consensus(cell_readings(results))
+    _, readers = consensus(cell_readings(results), unique=True)
     said = results.groupBy(F.col("agent_idx").cast("long").alias("agent")).agg(F.avg("cell_accuracy_pct").alias("said_pct"))
     return readers.join(said, "agent", "left").select(F.col("agent").alias("agent_idx"), "reliability", "group", "said_pct")
 

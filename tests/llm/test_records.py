@@ -129,3 +129,26 @@ def test_shortage_at_any_size(spark):
         df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
         shares = {r["source"]: r["actual_share"] for r in mixing.mix(df, weights, times=3.0)[1].collect()}
         assert shares["a"] < 0.4 and shares["b"] > 0.6, (size, shares)
+
+
+def test_kinds_of_misreading():
+    pairs = {
+        ("12.5", "12.5"): "same", ("12.5", "125"): "points", ("125", "12.5"): "points_in", ("-3", "3"): "sign", ("3", "-3"): "sign_in", ("1234", "1324"): "swap",
+        ("1234", "4231"): "swap", ("1234", "2341"): "swap", ("12", "13"): "digit", ("ab", "ac"): "letter", ("123", "1223"): "double", ("1123", "123"): "undouble",
+        ("123", "1423"): "insert", ("1423", "123"): "drop", ("abc", "xyz"): "many", ("", "1"): "insert", ("1", "11"): "double", ("12", "122"): "double", ("112", "12"): "undouble",
+    }
+    assert {p: consensus.kind_of(*p) for p in pairs} == pairs
+
+
+def test_many_annotators_agree_with_few(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        t = rng.choice(["moss", f"{rng.randrange(100, 999)}"])
+        for a in range(6):
+            rows.append((f"t{k % 7}", k, 0, a if a < 5 else 0, t if rng.random() < 0.6 + 0.05 * a else t[:-1] + rng.choice("479xy")))
+    df = readings(spark, rows)
+    few, many = (consensus.consensus(df, agents=n) for n in (2_000, 2))
+    for a, b in zip(few, many):
+        one, two = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect()) for t in (a, b))
+        assert one == two

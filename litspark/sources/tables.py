@@ -41,7 +41,8 @@ def small(df: DataFrame, limit: int = SMALL) -> DataFrame:
     The size is Spark's own estimate, which is exact for a written table read whole; what is
     larger is joined by shuffle.
     """
-    return F.broadcast(df) if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= limit else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
 
 
 def written(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:

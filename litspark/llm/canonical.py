@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litspark.sources.tables import written
+from litspark.sources.tables import small, written
 
-#: Least weighted cosine of a candidate, and by how many edits the best must beat the second.
-THRESHOLD, MARGIN = 0.5, 1
-#: Candidates are checked from this share of the best cosine of the value.
-NEAR = 0.65
-#: Entries of a list up to which its index is broadcast; a larger one is joined by shuffle.
-INDEX_BOUND = 50_000
+#: Least weighted cosine of a candidate, and by how much the best must beat the next that stands the exact check.
+THRESHOLD, MARGIN = 0.5, 0.002
 #: Words that carry no meaning in a venue name.
 EMPTY_WORDS = ("of", "on", "the", "in", "and", "de", "for", "la", "le", "der", "und", "et", "del", "f")
 
@@ -58,84 +57,134 @@ def _grams(parts: Column) -> Column:
     )
 
 
-def _edits(word: Column, name: Column, known: Column) -> Column:
-    """Edits by which a typed word differs from a word of a name; null if it means another word."""
-    whole = F.levenshtein(word, name)
-    begun = F.levenshtein(word, F.substring(name, F.lit(1), F.length(word)))
-    most = F.when(F.length(name) >= 10, 3).when(F.length(name) >= 6, 2).otherwise(1)
-    letters = lambda w: F.array_sort(F.split(w, ""))
-    return (
-        F.when(word == name, 0)
-        .when(known, F.lit(None).cast("int"))
-        .when(name.startswith(word), 0)
-        .when(whole <= most, whole)
-        .when((whole <= 4) & (letters(word) == letters(name)), whole)
-        .when((F.length(word) >= 4) & (F.length(word) < F.length(name)) & (begun <= 1), begun + 1)
-    )
+@lru_cache(maxsize=200_000)
+def _distance(a: str, b: str) -> int:
+    """Edits between two words."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+@lru_cache(maxsize=200_000)
+def _edits(word: str, name: str, known: bool) -> int | None:
+    """Edits by which a typed word differs from a word of a name; None if it means another word."""
+    if word == name:
+        return 0
+    if known:
+        return None
+    if name.startswith(word):
+        return 0
+    most = 3 if len(name) >= 10 else 2 if len(name) >= 6 else 1
+    if abs(len(word) - len(name)) <= 4:
+        whole = _distance(word, name)
+        if whole <= most or (whole <= 4 and sorted(word) == sorted(name)):
+            return whole
+    if 4 <= len(word) < len(name):
+        begun = _distance(word, name[: len(word)])
+        return begun + 1 if begun <= 1 else None
+    return None
+
+
+@lru_cache(maxsize=50_000)
+def _empty(word: str) -> bool:
+    """Whether a typed word may stand for nothing: one or two letters, or a misspelt empty word."""
+    return len(word) < 3 or (len(word) <= 4 and any(_distance(word, e) <= 1 for e in EMPTY_WORDS))
+
+
+def _left_over(typed: list[str], own: list[bool], names: list[str]) -> int | None:
+    """The exact check: every word of the entry is typed, whole, begun or misspelt, and every typed word is one of the entry's or empty.
+
+    The number of typed words of three letters and more that stand for none of the entry's; None if the check fails.
+    """
+    met = [[_edits(w, n, k) is not None for n in names] for w, k in zip(typed, own)]
+    idle = [w for m, w in zip(met, typed) if not any(m)]
+    if not all(any(m[k] for m in met) for k in range(len(names))) or not all(map(_empty, idle)):
+        return None
+    return sum(len(w) >= 3 for w in idle)
+
+
+def _checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates with their exact cosine, those that stand the check of the words."""
+    for b in batches:
+        out = []
+        for r in b.itertuples(index=False):
+            shared = set(r.grams)
+            dot = sum(w * w for g, w in zip(r.name_grams, r.weights) if g in shared)
+            cosine = dot / (r.form_norm * r.norm)
+            left = _left_over(list(r.words), list(r.own), list(r.name_words)) if cosine >= r.threshold else None
+            if left is not None:
+                out.append((r.form, r.name, cosine, left))
+        yield pd.DataFrame(out, columns=["form", "name", "cosine", "left"])
 
 
 def map_values(
-    values: DataFrame, value_col: str, canon: DataFrame, canon_col: str, threshold: float = THRESHOLD, margin: int = MARGIN
+    values: DataFrame, value_col: str, canon: DataFrame, canon_col: str, threshold: float = THRESHOLD, margin: float = MARGIN
 ) -> DataFrame:
     """(value, n, matched, cosine): each distinct value, its rows, and the entry of the list it means, or null.
 
-    Distinct values are normalised to words and their distinct forms looked up in an inverted
-    index of trigrams of the list; candidates are scored by the cosine of idf weights and kept
-    from ``threshold`` and near the value's best. An exact check follows: every word of the entry
-    must be typed, whole, begun or misspelt, and every typed word but one or two letters and
-    misspelt empty words must be one of the entry's. The entry with the fewest edits is accepted if it beats the next by ``margin``
-    edits; an entry whose words are typed exactly needs none. Null, blank and filler values
-    and ties remain unmatched. Repeated entries of the list count once.
+    Distinct values are normalised to words, and their distinct forms looked up in an inverted
+    index of trigrams of the list by their weightiest trigrams: the light ones, which very many
+    entries have, are left out as far as they could not lift a cosine to ``threshold`` alone.
+    Candidates that can reach it are scored by the exact cosine of idf weights. Of those that
+    reach it and stand an exact check, by which every word of the entry must be typed, whole,
+    begun or misspelt, and every typed word but one or two letters and misspelt empty words must
+    be one of the entry's, the best of those with the fewest words left over is accepted if it
+    beats the next by ``margin``. Null, blank
+    and filler values and ties remain unmatched. Repeated entries of the list count once.
     """
     typed = values.select(F.col(value_col).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     typed = written(typed.withColumn("words", words(F.col("value"))).withColumn("form", F.array_join("words", " ")), "typed")
     names = canon.select(F.col(canon_col).alias("name")).where("name is not null").distinct()
     names = written(names.withColumn("name_words", words(F.col("name"))).where("size(name_words) > 0"), "names")
     index = names.select("name", F.explode(_grams(F.col("name_words"))).alias("gram"))
-    count = names.count()
-    weights = index.groupBy("gram").agg(F.log1p(F.lit(float(count)) / F.count("*")).alias("w"))
+    weights = index.groupBy("gram").agg(F.log1p(F.lit(float(names.count())) / F.count("*")).alias("w"))
+    weights = small(written(weights, "weights"))
     index = index.join(weights, "gram")
-    norms = index.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = index.join(norms, "name").select("gram", "name", (F.col("w") * F.col("w") / F.col("norm")).alias("part"))
-
-    # few bytes make much work here, so the parts are set by the cores and not by their size
-    spark = values.sparkSession
-    parts = 4 * spark.sparkContext.defaultParallelism
-    forms = typed.where("size(words) > 0").select("form", "words").distinct().repartition(parts, "form")
-    index = F.broadcast(index) if count <= INDEX_BOUND else index
-    asked = forms.select("form", F.explode(_grams(F.col("words"))).alias("gram"))
-    asked_norms = (
-        asked.join(weights, "gram", "left")
-        .groupBy("form")
-        .agg(F.sqrt(F.sum(F.coalesce(F.col("w") * F.col("w"), F.lit(1.0)))).alias("form_norm"))
+    entries = index.groupBy("name").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("gram").alias("name_grams"), F.collect_list("w").alias("weights")
     )
-    scored = asked.join(index, "gram").groupBy("form", "name").agg(F.sum("part").alias("dot"))
-    scored = scored.join(asked_norms, "form").withColumn("cosine", F.col("dot") / F.col("form_norm"))
-    top = F.max("cosine").over(Window.partitionBy("form"))
-    scored = scored.where(F.col("cosine") >= threshold).withColumn("top", top).where(F.col("cosine") >= NEAR * F.col("top"))
-    candidates = written(scored.select("form", "name", "cosine"), "candidates")
+    entries = small(written(entries.join(names, "name"), "entries"))
+    index = index.join(entries.select("name", "norm"), "name").select("gram", "name", "norm", (F.col("w") * F.col("w")).alias("part"))
+    index = small(written(index, "grams"))
 
+    # few bytes make much work here, so the parts are set by the cores and not by their size
+    parts = 4 * values.sparkSession.sparkContext.defaultParallelism
+    forms = typed.where("size(words) > 0").select("form", "words").distinct()
     # words that the list itself uses mean themselves
-    own = names.select(F.explode("name_words").alias("word")).distinct().withColumn("own", F.lit(True))
-    known = (
-        forms.select("form", F.posexplode("words").alias("at", "word"))
-        .join(own, "word", "left")
-        .groupBy("form")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "word", F.coalesce("own", F.lit(False)).alias("own")))).alias("parts"))
+    own = small(written(names.select(F.explode("name_words").alias("word")).distinct().withColumn("own", F.lit(True)), "own"))
+    known = forms.select("form", F.posexplode("words").alias("at", "word")).join(own, "word", "left").groupBy("form").agg(
+        F.sort_array(F.collect_list(F.struct("at", "word", F.coalesce("own", F.lit(False)).alias("own")))).alias("p")
+    )
+    known = known.select("form", F.col("p.word").alias("words"), F.col("p.own").alias("own"), _grams(F.col("p.word")).alias("grams"))
+    asked = known.select("form", F.explode("grams").alias("gram")).join(weights, "gram", "left")
+    square = F.col("w") * F.col("w")
+    asked_norms = asked.groupBy("form").agg(
+        F.sum(F.coalesce(square, F.lit(1.0))).alias("whole"),
+        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct(square.alias("part"), "gram")))).alias("known"),
+    )
+    # grams from the lightest; those within the share of the norm that can't lift a cosine to the threshold
+    sums = F.aggregate(
+        "known", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["part"]))
+    )
+    asked_norms = asked_norms.withColumn("sums", sums).withColumn("light", F.size(F.filter("sums", lambda x: x < threshold**2 * F.col("whole"))) - 1)
+    asked_norms = asked_norms.select(
+        "form", F.sqrt("whole").alias("form_norm"), F.element_at("sums", F.col("light") + 1).alias("rest"),
+        F.slice("known", F.col("light") + 1, F.greatest(F.size("known") - F.col("light"), F.lit(0))).alias("heavy"),
+    )
+    known = written(known.join(asked_norms, "form").repartition(parts, "form"), "forms")
+    heavy = known.select("form", "form_norm", "rest", F.explode("heavy.gram").alias("gram"))
+    met = heavy.join(index, "gram").groupBy("form", "name").agg(
+        F.sum("part").alias("part"), F.first("rest").alias("rest"), (F.first("form_norm") * F.first("norm")).alias("norms")
     )
-    pairs = candidates.join(known, "form").join(names, "name").repartition(parts, "form")
-    cost = lambda c: F.array_min(F.array_compact(F.transform("parts", lambda p: _edits(p["word"], c, p["own"]))))
-    pairs = pairs.withColumn("costs", F.transform("name_words", cost)).where("not exists(costs, c -> c is null)")
-    meant = lambda p: F.exists("name_words", lambda c: _edits(p["word"], c, p["own"]).isNotNull())
-    empty = lambda w: (F.length(w) < 3) | ((F.length(w) <= 4) & F.exists(misspelt, lambda e: F.levenshtein(w, e) <= 1))
-    misspelt = F.array(*[F.lit(w) for w in EMPTY_WORDS])
-    pairs = pairs.where(F.forall("parts", lambda p: empty(p["word"]) | meant(p)))
-    # a typed word that stands for none of the entry's is an edit too
-    idle = F.size(F.filter("parts", lambda p: (F.length(p["word"]) >= 3) & ~meant(p)))
-    pairs = pairs.withColumn("edits", F.aggregate("costs", F.lit(0), lambda a, c: a + c) + idle)
-    first = F.struct("edits", (-F.col("cosine")).alias("away"), "name")
-    best = pairs.groupBy("form").agg(F.min(first).alias("best"), F.get(F.sort_array(F.collect_list("edits")), F.lit(1)).alias("next"))
-    exact = F.col("best.edits") == 0
-    best = best.where(F.col("next").isNull() | (F.col("next") - F.col("best.edits") >= margin) | (exact & (F.col("next") > 0)))
-    best = best.select("form", F.col("best.name").alias("matched"), (-F.col("best.away")).alias("cosine"))
+    met = met.where(F.col("part") + F.col("rest") >= (threshold - 1e-9) * F.col("norms")).select("form", "name")
+    met = written(met.repartition(parts, "form"), "met")
+    pairs = met.join(known.drop("heavy", "rest"), "form").join(entries, "name").withColumn("threshold", F.lit(threshold))
+    checked = pairs.mapInPandas(_checked, "form string, name string, cosine double, left int")
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("left"), "cosine", "name")), False)
+    best = checked.groupBy("form").agg(ranked.alias("r")).withColumn("next", F.get("r", F.lit(1)))
+    beaten = F.col("next").isNull() | (F.col("next.left") < F.col("r")[0]["left"]) | (F.col("r")[0]["cosine"] - F.col("next.cosine") >= margin)
+    best = best.where(beaten).select("form", F.col("r")[0]["name"].alias("matched"), F.col("r")[0]["cosine"].alias("cosine"))
     return typed.join(best, "form", "left").select("value", "n", "matched", "cosine")

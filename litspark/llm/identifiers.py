@@ -14,19 +14,22 @@ def plain(text: Column) -> Column:
     """Lower case without white space and zero-width characters; full-width forms and dashes as ASCII."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     narrow = "".join(map(chr, range(0x21, 0x7F)))
-    text = F.translate(text, wide + DASHES + ZERO_WIDTH, narrow + "-" * len(DASHES))
-    text = F.regexp_replace(F.lower(text), r"[\s\p{Z}\p{Cf}]+", "")
-    return F.when(
-        text.contains("%"), F.coalesce(F.try_url_decode(F.regexp_replace(text, r"\+", "%2B")), text)
-    ).otherwise(text)
+    clean = F.translate(text, wide + DASHES + ZERO_WIDTH, narrow + "-" * len(DASHES))
+    clean = F.regexp_replace(F.lower(clean), r"[\s\p{Z}\p{Cf}]+", "")
+    clean = F.when(
+        clean.contains("%"), F.coalesce(F.try_url_decode(F.regexp_replace(clean, r"\+", "%2B")), clean)
+    ).otherwise(clean)
+    # most values are visible ASCII and need none of it
+    return F.when(text.rlike(r"^[!-$&-~]*$"), F.lower(text)).otherwise(clean)
 
 
 def arxiv_id(text: Column) -> Column:
     """The arXiv id named in a plain text, without version and subject class; null if there is none."""
-    text = F.regexp_replace(text, r"\.pdf$", "")
+    bare, text = text, F.regexp_replace(text, r"\.pdf$", "")
     new = F.regexp_extract(text, r"(?:^|[^0-9.])([0-9]{4}\.[0-9]{4,5})(?:v[0-9]+)?(?![0-9])", 1)
     old = F.regexp_extract(text, r"([a-z]+(?:-[a-z]+)?(?:\.[a-z]{2})?/[0-9]{7})(?:v[0-9]+)?(?![0-9])", 1)
-    return F.when(new != "", new).when(old != "", F.regexp_replace(old, r"\.[a-z]{2}/", "/"))
+    found = F.when(new != "", new).when(old != "", F.regexp_replace(old, r"\.[a-z]{2}/", "/"))
+    return F.when(bare.rlike(r"^[0-9]{4}\.[0-9]{4,5}$"), bare).otherwise(found)
 
 
 def doi(text: Column) -> Column:
@@ -36,7 +39,8 @@ def doi(text: Column) -> Column:
     name = F.regexp_replace(name, r"[\s.,;:!'’”\]}/\\|]+$", "")
     # a closing bracket belongs to the DOI only if one opens in it
     name = F.regexp_replace(name, r"^([^(]*?)[\s.,;:!'’”\]}/\\|)]+$", "$1")
-    return F.when(name.rlike(r"^10\.[0-9.]+/.*[0-9a-z]"), name)
+    found = F.when(name.rlike(r"^10\.[0-9.]+/.*[0-9a-z]"), name)
+    return F.when(text.rlike(r"^10\.[0-9]{4,9}/[0-9a-z._/-]*[0-9a-z]$"), text).otherwise(found)
 
 
 def with_identifier_keys(df: DataFrame, out: str, *columns: str) -> DataFrame:

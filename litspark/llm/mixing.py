@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.sources.tables import written
+from litspark.sources.tables import small, written
 
 #: Default tokenizer: the public byte-level BPE of 50,256 ranks.
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Parts of an epoch's order within which running sums are taken.
-BUCKETS = 4096
+#: Documents of a part of an epoch's order, within which running sums are taken; the parts grow with the documents.
+IN_PART = 20_000
 # The domains of the tree; a source that is not named is its own domain.
 DOMAINS = {
     "publisher_fulltext": "publications", "preprint_fulltext": "publications", "abstracts": "publications", "thesis_chapters": "publications",
@@ -94,7 +94,7 @@ def budgets(leaves: dict[tuple, tuple[float, float]], total: float) -> dict[tupl
 
 def mix(
     documents: DataFrame, weights: DataFrame, id_col: str = "doc_id", text_col: str = "text", total: float | None = None, seed: int = 42,
-    tokenizer: str = TOKENIZER, times: float = 1.0,
+    tokenizer: str = TOKENIZER, times: float = 1.0, domains: dict[str, str] = DOMAINS,
 ) -> tuple[DataFrame, DataFrame]:
     """(selection, report) of documents (id, text, source, lang) mixed to weights (source, target_share, max_repeats).
 
@@ -105,14 +105,17 @@ def mix(
     repeat all its documents; the last one takes the longest prefix, in an order seeded by the
     epoch, that fits the budget. Sources without a weight are left out, sources without documents
     report 0; null and odd languages are "und"; documents without tokens are never taken;
-    repeated ids count once. Only the leaves' sums, one row for each source and language, reach
+    of repeated ids the longest text counts. ``domains`` names the domain of a source, by default its
+    own. Tokens are counted where the texts lie, and no text is shuffled. Only the leaves' sums, one row for each source and language, reach
     the driver.
     """
     language = F.regexp_extract(F.lower(F.trim(F.coalesce("lang", F.lit("")))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
     language = F.when(language == "", "und").otherwise(language)
     known = weights.select("source", "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"])
-    docs = documents.dropDuplicates([id_col]).join(known.select("source"), "source", "left_semi").withColumn("language", language)
-    sized = written(token_counts(docs, id_col, text_col, ("source", "language"), tokenizer).where("tokens > 0"), "sized")
+    docs = documents.withColumn("language", language)
+    sized = token_counts(docs, id_col, text_col, ("source", "language"), tokenizer).where("tokens > 0 and id is not null")
+    sized = sized.groupBy("id").agg(F.max(F.struct("tokens", "source", "language")).alias("d")).select("id", "d.*")
+    sized = written(sized.join(small(written(known, "known")).select("source"), "source", "left_semi"), "sized")
     sums = {(r["language"], r["source"]): r["tokens"] for r in sized.groupBy("language", "source").agg(F.sum("tokens").alias("tokens")).collect()}
     wanted = {r["source"]: (float(r["target_share"] or 0.0), int(r["max_repeats"] or 1)) for r in known.collect()}
     of_source: dict[str, float] = {}
@@ -121,7 +124,7 @@ def mix(
     if total is None:
         total = times * min((n * wanted[s][1] / wanted[s][0] for s, n in of_source.items() if wanted[s][0] > 0), default=0.0)
     leaves = {
-        (DOMAINS.get(s, s), lang, s): (wanted[s][0] * n / of_source[s], float(n * wanted[s][1])) for (lang, s), n in sums.items()
+        (domains.get(s, s), lang, s): (wanted[s][0] * n / of_source[s], float(n * wanted[s][1])) for (lang, s), n in sums.items()
     }
     plan = [(lang, s, *divmod(round(x, 6), sums[lang, s])) for (_, lang, s), x in budgets(leaves, total).items()]
     plan = [(lang, s, int(epochs), float(rest)) for lang, s, epochs, rest in plan]
@@ -130,7 +133,8 @@ def mix(
 
     placed = sized.join(plan, ["language", "source"])
     placed = placed.withColumn("at", F.xxhash64(F.lit(seed), "epochs", "id"))
-    placed = placed.withColumn("bucket", F.shiftrightunsigned("at", 64 - int(math.log2(BUCKETS))))
+    bits = max(1, math.ceil(math.log2(max(1, sized.count()) / IN_PART + 1)))
+    placed = placed.withColumn("bucket", F.shiftrightunsigned("at", 64 - bits))
     leaf = ["language", "source"]
     parts = placed.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("in_bucket"))
     before = F.sum("in_bucket").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

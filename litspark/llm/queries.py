@@ -14,7 +14,7 @@ from litspark.llm.leaks import find_leaks
 from litspark.llm.matching import match_records
 from litspark.llm.mixing import mix
 from litspark.llm.scans import find_scanned, learn, repair
-from litspark.llm.spans import removal_clusters, shared_pairs, shared_share, shared_windows
+from litspark.llm.spans import removal_clusters, shared_pairs, shared_share, shared_windows, span_links, span_starts, with_paragraphs
 from litspark.llm.templates import find_stand_ins
 from litspark.sources.tables import table
 
@@ -124,9 +124,9 @@ def p7_records(spark: SparkSession, d: str) -> DataFrame:
     captions = table(spark, d, "detected_captions").select(
         F.lit("detected_captions"), "caption_id", record_key(F.col("item_key"), F.col("caption_type"), F.col("text"))
     )
-    rows = works.union(captions).withColumn("key", F.concat_ws("\u001e", "rec_table", "key"))
+    rows = works.union(captions).withColumn("key", F.concat_ws("\u001e", "key", "rec_table"))
     found = count_copies(rows, "rec_id", F.col("key")).where("copies > 1")
-    return found.select(F.substring_index("key", "\u001e", 1).alias("rec_table"), "first_id", "copies")
+    return found.select(F.substring_index("key", "\u001e", -1).alias("rec_table"), "first_id", "copies")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -195,10 +195,15 @@ def p9_mix_short_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "source_weights"), times=3.0)[1]
 
 
+def _starts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, d, "documents")
+    windows = shared_windows(documents, "doc_id", "text")
+    return windows, with_paragraphs(span_starts(windows), documents, "doc_id", "text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents with a common span of at least 300 characters."""
-    pairs = shared_pairs(shared_windows(table(spark, d, "documents"), "doc_id", "text"))
-    return pairs.toDF("doc_id_a", "doc_id_b")
+    return shared_pairs(*_starts(spark, d)).toDF("doc_id_a", "doc_id_b")
 
 
 def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
@@ -208,12 +213,16 @@ def p10_shared_share(spark: SparkSession, d: str) -> DataFrame:
     return share.withColumnRenamed("id", "doc_id")
 
 
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each document beside the first one with which it shares a paragraph: a row for each, not for each pair."""
+    return span_links(_starts(spark, d)[1]).toDF("doc_id", "first_id")
+
+
 def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Documents joined by shared spans, under the least id of their cluster."""
-    pairs = shared_pairs(shared_windows(table(spark, d, "documents"), "doc_id", "text"))
-    return removal_clusters(pairs).withColumnRenamed("id", "doc_id")
+    return removal_clusters(span_links(_starts(spark, d)[1])).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p7_records": p7_records, "p8_found": p8_found, "p8_report": p8_report, "p9_mix_selection": p9_mix_selection, "p9_mix_shares": p9_mix_shares, "p9_mix_fixed_total": p9_mix_fixed_total, "p9_mix_short_shares": p9_mix_short_shares,
-    "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_clusters": p10_clusters}
+    "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_links": p10_links, "p10_clusters": p10_clusters}
 ORACLE: dict[str, str] = {}

@@ -1,9 +1,9 @@
 """All registered queries outside the training-data package."""
 
-from litspark.plans import indexing, layout, library, retrieval, scholarly, streams, texts, vectors
+from litspark.plans import indexing, layout, library, notes, retrieval, runs, scholarly, streams, texts, vectors
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for module in (library, vectors, retrieval, texts, indexing, scholarly, layout, streams):
+for module in (library, vectors, retrieval, notes, runs, texts, indexing, scholarly, layout, streams):
     QUERIES |= {name: run for name, (run, _) in module.REGISTERED.items()}
     ORACLE |= {name: sql for name, (_, sql) in module.REGISTERED.items() if sql}

@@ -14,6 +14,8 @@ from litspark.sources.tables import small, written
 
 #: Least weighted cosine of a candidate, and by how much the best must beat the next that stands the exact check.
 THRESHOLD, MARGIN = 0.5, 0.002
+#: Share of what may be left out of a form's squared weights that is left out; less of it makes fewer candidates of more lookups.
+LIGHT = 0.2
 #: Words that carry no meaning in a venue name.
 EMPTY_WORDS = ("of", "on", "the", "in", "and", "de", "for", "la", "le", "der", "und", "et", "del", "f")
 
@@ -169,18 +171,19 @@ def map_values(
     sums = F.aggregate(
         "known", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["part"]))
     )
-    asked_norms = asked_norms.withColumn("sums", sums).withColumn("light", F.size(F.filter("sums", lambda x: x < threshold**2 * F.col("whole"))) - 1)
+    asked_norms = asked_norms.withColumn("sums", sums).withColumn("light", F.size(F.filter("sums", lambda x: x < LIGHT * threshold**2 * F.col("whole"))) - 1)
     asked_norms = asked_norms.select(
         "form", F.sqrt("whole").alias("form_norm"), F.element_at("sums", F.col("light") + 1).alias("rest"),
         F.slice("known", F.col("light") + 1, F.greatest(F.size("known") - F.col("light"), F.lit(0))).alias("heavy"),
     )
-    known = written(known.join(asked_norms, "form").repartition(parts, "form"), "forms")
+    known = written(known.join(asked_norms, "form"), "forms").repartition(parts, "form")
     heavy = known.select("form", "form_norm", "rest", F.explode("heavy.gram").alias("gram"))
+    # all of a form is in one part, so that its candidates are summed where they are found
     met = heavy.join(index, "gram").groupBy("form", "name").agg(
-        F.sum("part").alias("part"), F.first("rest").alias("rest"), (F.first("form_norm") * F.first("norm")).alias("norms")
+        F.sum("part").alias("part"), F.first("rest").alias("rest"), F.first("form_norm").alias("form_norm"), F.first("norm").alias("norm")
     )
-    met = met.where(F.col("part") + F.col("rest") >= (threshold - 1e-9) * F.col("norms")).select("form", "name")
-    met = written(met.repartition(parts, "form"), "met")
+    rest = F.least("rest", F.col("norm") * F.col("norm") - F.col("part"))
+    met = met.where(F.col("part") + rest >= (threshold - 1e-9) * F.col("form_norm") * F.col("norm")).select("form", "name")
     pairs = met.join(known.drop("heavy", "rest"), "form").join(entries, "name").withColumn("threshold", F.lit(threshold))
     checked = pairs.mapInPandas(_checked, "form string, name string, cosine double, left int")
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("left"), "cosine", "name")), False)

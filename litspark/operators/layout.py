@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,7 +97,21 @@ def outlier_threshold(rows: DataFrame, group: str, value: str, least: int = 3) -
     return q.select(group, (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("threshold"))
 
 
-def grade(found: Column, missing: Column) -> Column:
-    """A letter for a share of numbers that are missing: A none, B to a tenth, C to a quarter, D to a half, F above; E where nothing was found."""
-    share = missing / F.greatest(found + missing, F.lit(1))
-    return F.when(found == 0, "E").when(missing == 0, "A").when(share <= 0.1, "B").when(share <= 0.25, "C").when(share <= 0.5, "D").otherwise("F")
+def grade(pages: Column, sections: Column, tables: dict[str, Column], figures: dict[str, Column]) -> Column:
+    """A letter for what was taken out of a document.
+
+    ``tables`` and ``figures`` are counts: found, captioned (of the found), captions (seen in the
+    text) and missing (numbers left out). F: no page with text, or two fields missed whole; D: one
+    missed whole; A: nothing missing, and sections; C: under four fifths of tables or figures have
+    a caption; B else. A field is missed whole if things were found and none has a caption, or
+    captions were seen and nothing was found.
+    """
+    zero = F.lit(0)
+    missed = [F.when((k["found"] > 0) & (k["captioned"] == 0), 1).otherwise(zero) for k in (tables, figures)]
+    missed += [F.when((k["captions"] > 0) & (k["found"] == 0), 1).otherwise(zero) for k in (tables, figures)]
+    fields = reduce(lambda a, b: a + b, missed)
+    whole = [(k["missing"] <= 0) & (k["found"] <= k["captioned"]) for k in (tables, figures)]
+    few = [(k["found"] > 0) & (k["captioned"] < 0.8 * k["found"]) for k in (tables, figures)]
+    return (
+        F.when((pages == 0) | (fields >= 2), "F").when(fields == 1, "D").when(whole[0] & whole[1] & (sections > 0), "A").when(few[0] | few[1], "C").otherwise("B")
+    )

@@ -66,13 +66,33 @@ def number_gaps(spark, d):
     return layout.number_gaps(_captions(spark, d))
 
 
-@query(f"""SELECT doc, kind, CASE WHEN n = 0 THEN 'E' WHEN m = 0 THEN 'A' WHEN m / greatest(n + m, 1) <= 0.1 THEN 'B' WHEN m / greatest(n + m, 1) <= 0.25 THEN 'C' WHEN m / greatest(n + m, 1) <= 0.5 THEN 'D' ELSE 'F' END AS grade
-  FROM (SELECT *, CASE WHEN missing = '' THEN 0 ELSE len(string_split(missing, ',')) END AS m FROM ({_GAPS}))""")
+_FOUND = """SELECT item_key AS doc, count(*) FILTER (chunk_type = 'text' AND coalesce(document, '') <> '') AS pages, count(DISTINCT section) FILTER (section NOT IN ('unknown', 'table', 'figure', 'formula')) AS sections,
+  count(*) FILTER (chunk_type = 'table') AS tf, count(*) FILTER (chunk_type = 'table' AND coalesce(document, '') <> '') AS tc, count(*) FILTER (chunk_type = 'figure') AS ff, count(*) FILTER (chunk_type = 'figure' AND coalesce(document, '') <> '') AS fc
+  FROM chunk_records WHERE item_key IS NOT NULL GROUP BY 1"""
+_MISSING = f"SELECT doc, kind, n + repeated AS captions, CASE WHEN missing = '' THEN 0 ELSE len(string_split(missing, ',')) END AS missing FROM ({_GAPS})"
+
+
+@query(f"""WITH m AS ({_MISSING}), x AS (SELECT f.*, coalesce(t.captions, 0) AS ts, coalesce(t.missing, 0) AS tm, coalesce(g.captions, 0) AS gs, coalesce(g.missing, 0) AS gm FROM ({_FOUND}) f
+  LEFT JOIN m t ON t.doc = f.doc AND t.kind = 'table' LEFT JOIN m g ON g.doc = f.doc AND g.kind = 'figure'),
+  y AS (SELECT *, CAST(tf > 0 AND tc = 0 AS INTEGER) + CAST(ff > 0 AND fc = 0 AS INTEGER) + CAST(gs > 0 AND ff = 0 AS INTEGER) + CAST(ts > 0 AND tf = 0 AS INTEGER) AS missed FROM x)
+  SELECT doc, CASE WHEN pages = 0 OR missed >= 2 THEN 'F' WHEN missed = 1 THEN 'D' WHEN tm <= 0 AND gm <= 0 AND tf - tc <= 0 AND ff - fc <= 0 AND sections > 0 THEN 'A'
+  WHEN (ff > 0 AND fc / ff < 0.8) OR (tf > 0 AND tc / tf < 0.8) THEN 'C' ELSE 'B' END AS grade FROM y""")
 def completeness_grade(spark, d):
-    """A letter for the completeness of each item's numbers."""
+    """A letter for what was taken out of each document."""
+    rows = table(spark, d, "chunk_records").where("item_key is not null")
+    kind, full = F.col("chunk_type"), F.coalesce("document", F.lit("")) != ""
+    found = rows.groupBy(F.col("item_key").alias("doc")).agg(
+        F.count_if((kind == "text") & full).alias("pages"),
+        F.count_distinct(F.when(~F.col("section").isin("unknown", "table", "figure", "formula"), F.col("section"))).alias("sections"),
+        *[F.count_if(kind == k).alias(f"{k}_found") for k in ("table", "figure")], *[F.count_if((kind == k) & full).alias(f"{k}_captioned") for k in ("table", "figure")],
+    )
     gaps = layout.number_gaps(_captions(spark, d))
-    m = F.when(F.col("missing") == "", 0).otherwise(F.size(F.split("missing", ",")))
-    return gaps.select("doc", "kind", layout.grade(F.col("n"), m).alias("grade"))
+    gaps = gaps.select("doc", "kind", (F.col("n") + F.col("repeated")).alias("captions"), F.when(F.col("missing") == "", 0).otherwise(F.size(F.split("missing", ","))).alias("missing"))
+    for k in ("table", "figure"):
+        own = gaps.where(F.col("kind") == k).select("doc", F.col("captions").alias(f"{k}_captions"), F.col("missing").alias(f"{k}_missing"))
+        found = found.join(own, "doc", "left").fillna(0, [f"{k}_captions", f"{k}_missing"])
+    counts = [{c: F.col(f"{k}_{c}") for c in ("found", "captioned", "captions", "missing")} for k in ("table", "figure")]
+    return found.select("doc", layout.grade(F.col("pages"), F.col("sections"), *counts).alias("grade"))
 
 
 @query("""SELECT kind, q3 + 1.5 * (q3 - q1) AS threshold FROM (SELECT kind, v[len(v) // 4 + 1] AS q1, v[3 * len(v) // 4 + 1] AS q3, len(v) AS n FROM (SELECT caption_type AS kind, list(y_center ORDER BY y_center) AS v FROM detected_captions GROUP BY 1)) WHERE n >= 3""")

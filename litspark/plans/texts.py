@@ -101,14 +101,13 @@ def heading_category(spark, d):
     return table(spark, d, "crossref_works").select("work_id", text.section_of_heading(F.col("title")).alias("section"))
 
 
-@query("""WITH l AS (SELECT meta_id, regexp_replace(coalesce(document, ''), '^\\s+|\\s+$', '', 'g') AS t FROM chunk_records),
-  x AS (SELECT meta_id, t, list_filter(list_transform(regexp_split_to_array(t, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS ls FROM l),
-  y AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(\\[[0-9]+\\]|[0-9]+[).])\\s+\\S+'))) AS listed,
-  len(list_filter(ls, lambda x: regexp_matches(x, '(?i)\\b10\\.[0-9]{4,9}/|https?://|www\\.'))) AS links,
-  len(list_filter(ls, lambda x: regexp_matches(x, '^\\s*(\\[[0-9]+\\]|[0-9]+[).])\\s+\\S+') OR (regexp_matches(x, '\\b(19|20)[0-9]{2}[a-z]?\\b') AND
-  (regexp_matches(x, '(?i)\\b10\\.[0-9]{4,9}/|https?://|www\\.') OR regexp_matches(x, '\\b[0-9]{1,4}\\s*[,;:]\\s*[0-9]{1,6}') OR regexp_matches(x, '\\b[A-Z][a-zA-Z''`-]+,\\s+[A-Z]'))))) AS entries FROM x)
-  SELECT meta_id, coalesce(regexp_matches(ls[1], '^(?i)[#*_ .:]*(references?|bibliography|literature cited|works cited)[#*_ .:]*$'), false) OR (length(t) >= 250 AND
-  ((n >= 4 AND entries / greatest(n, 1) >= 0.45) OR listed >= 3 OR (links >= 3 AND entries / greatest(n, 1) >= 0.3))) AS reference_like FROM y""")
+_SIGN = {k: p.replace("'", "''") for k, p in text.SIGNS.items()}
+_ENTRY = "(regexp_matches(x, '" + text.COUNTED + "') OR (regexp_matches(x, '" + _SIGN["year"] + "') AND (" + " OR ".join(f"regexp_matches(x, '{_SIGN[k]}')" for k in ("address", "extent", "initials")) + ")))"
+
+
+@query(f"""WITH l AS (SELECT meta_id, length(trim(coalesce(document, ''))) AS n_chars, list_filter(list_transform(string_split(coalesce(document, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s', ' ', 'g'))), lambda x: x <> '') AS ls FROM chunk_records),
+  c AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda x: {_ENTRY})) AS entries, len(list_filter(ls, lambda x: regexp_matches(x, '{text.COUNTED}'))) AS counted, len(list_filter(ls, lambda x: regexp_matches(x, '{_SIGN["address"]}'))) AS addressed FROM l)
+  SELECT meta_id, coalesce(lower(trim(translate(ls[1], '#*_.:', '     '))) IN {text.BIBLIOGRAPHY_HEADINGS}, false) OR (n_chars >= 250 AND ((n >= 4 AND entries >= 0.45 * n) OR counted >= 3 OR (addressed >= 3 AND entries >= 0.3 * n))) AS reference_like FROM c""")
 def reference_like(spark, d):
     """Chunks that look like a bibliography."""
     return table(spark, d, "chunk_records").select("meta_id", text.reference_like(F.col("document")).alias("reference_like"))

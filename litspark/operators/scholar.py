@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -12,14 +13,39 @@ from pyspark.sql import types as T
 
 from litspark.functions.identifiers import venue_key
 
-# Abbreviations of words in venue names.
+# Abbreviations in venue names and what each may stand for.
 ABBREVIATIONS = {
-    "j.": "journal", "int.": "international", "eur.": "european", "adv.": "advances", "ann.": "annals", "arch.": "archives", "bull.": "bulletin",
-    "proc.": "proceedings", "trans.": "transactions", "rev.": "review", "lett.": "letters", "res.": "research", "sci.": "science",
-    "technol.": "technology", "tech.": "technology", "eng.": "engineering", "syst.": "systems", "phys.": "physics", "chem.": "chemistry",
-    "biol.": "biology", "med.": "medical", "electr.": "electrical", "comput.": "computational", "inf.": "information", "conf.": "conference",
-    "symp.": "symposium", "appl.": "applied", "hydrol.": "hydrology", "conserv.": "conservation", "q.": "quarterly",
-}
+    "trans.": ("transactions",),
+    "biomed.": ("biomedical",),
+    "eng.": ("engineering",),
+    "j.": ("journal",),
+    "proc.": ("proceedings",),
+    "int.": ("international",),
+    "sci.": ("science", "sciences"),
+    "rev.": ("review", "reviews"),
+    "lett.": ("letters",),
+    "comput.": ("computer", "computing", "computational"),
+    "med.": ("medicine", "medical"),
+    "phys.": ("physics", "physical"),
+    "chem.": ("chemistry", "chemical"),
+    "appl.": ("applied",),
+    "res.": ("research",),
+    "biol.": ("biology", "biological"),
+    "conf.": ("conference",),
+    "symp.": ("symposium",),
+    "ann.": ("annual", "annals"),
+    "eur.": ("european",),
+    "am.": ("american",),
+    "nat.": ("national", "nature", "natural"),
+    "tech.": ("technology", "technical"),
+    "syst.": ("systems",),
+    "commun.": ("communications",),
+    "electr.": ("electrical", "electronic", "electronics"),
+    "rehabil.": ("rehabilitation",),
+    "neurosci.": ("neuroscience",),
+    "cardiovasc.": ("cardiovascular",),
+    "physiol.": ("physiology", "physiological"),
+}
 
 
 def flat_work(works: DataFrame, most: int = 5) -> DataFrame:
@@ -80,11 +106,21 @@ def round_robin(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return first.join(sizes, group).orderBy("turn", F.desc("size"), group).limit(n).select(group, order, "turn")
 
 
-def expanded(name: Column) -> Column:
-    """A venue's name with its abbreviations written out, as a key."""
-    words = F.split(F.lower(F.trim(name)), r"\s+")
-    table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return venue_key(F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " "))
+def _written_out(short: str, words: tuple[str, ...]) -> Callable[[Column], Column]:
+    def write(x: Column) -> Column:
+        every = [F.overlay(x, F.lit(w), F.locate(short, x), F.lit(len(short))) for w in words]
+        return F.when(x.contains(short), F.array(*every)).otherwise(F.array(x))
+
+    return write
+
+
+def expansions(name: Column) -> Column:
+    """The keys that a venue's name may stand for: each abbreviation it holds in turn, at its first place, by each of its words."""
+    out = F.array(F.lower(name))
+    for short, words in ABBREVIATIONS.items():
+        out = F.flatten(F.transform(out, _written_out(short, words)))
+    # every abbreviation ends in a point
+    return F.transform(F.when(name.contains("."), out).otherwise(F.array(F.lower(name))), venue_key)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -104,20 +140,30 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) if x is not None and y is not None else None for x, y in zip(a, b)])
 
 
-def venue_lookup(names: DataFrame, name_col: str, dim: DataFrame, key_col: str, value_col: str, cutoff: float = 90.0) -> DataFrame:
-    """(name, value, tier) of each distinct name: exact key, abbreviations written out, else the most alike entry from ``cutoff``.
+def venue_lookup(
+    names: DataFrame, name_col: str, dim: DataFrame, key_col: str, value_col: str, cutoff: float = 90.0, overrides: DataFrame | None = None
+) -> DataFrame:
+    """(name, value, tier) of each distinct name: 0 an override (title, value), 1 exact key, 2 abbreviations written out, 3 the most alike entry from ``cutoff``.
 
-    An alike name holds one of an entry's segments, near its place: an entry has one segment more
+    Of several ways to write a name out the first that is an override or an entry counts. An alike
+    name holds one of an entry's segments, near its place: an entry has one segment more
     than the insertions and deletions that the cutoff allows at any length of the name, so that
     none is lost. Of these, those with a Levenshtein distance that the cutoff allows are scored by
     the exact ratio. Ties go to the first entry in order.
     """
     named = names.select(F.col(name_col).alias("name")).where("name is not null").distinct()
-    keyed = named.withColumn("key", venue_key(F.col("name"))).withColumn("long", expanded(F.col("name")))
+    keyed = named.withColumn("key", venue_key(F.col("name"))).withColumn("long", F.col("key"))
     dim = dim.select(F.col(key_col).alias("entry"), F.col(value_col).alias("value")).where("entry is not null").groupBy("entry").agg(F.max("value").alias("value"))
-    exact = keyed.join(dim, F.col("key") == F.col("entry")).select("name", "value", F.lit(1).alias("tier"))
+    known = dim.withColumn("tier", F.lit(1))
+    if overrides is not None:
+        given = overrides.select(venue_key(F.col(overrides.columns[0])).alias("entry"), F.col(overrides.columns[1]).alias("value"), F.lit(0).alias("tier"))
+        given = given.groupBy("entry").agg(F.max("value").alias("value"), F.max("tier").alias("tier"))
+        known = given.unionByName(known.join(given.select("entry"), "entry", "left_anti"))
+    exact = keyed.join(known, F.col("key") == F.col("entry")).select("name", "value", "tier")
     rest = keyed.join(exact, "name", "left_anti")
-    short = rest.join(dim, F.col("long") == F.col("entry")).select("name", "value", F.lit(2).alias("tier"))
+    ways = rest.where(F.col("name").contains(".")).select("name", F.posexplode(expansions(F.col("name"))).alias("at", "entry"))
+    short = ways.join(known.select("entry", "value"), "entry").groupBy("name").agg(F.min_by("value", "at").alias("value"))
+    short = short.select("name", "value", F.lit(2).alias("tier"))
     rest = rest.join(short, "name", "left_anti")
     if cutoff >= 100:
         return exact.unionByName(short)

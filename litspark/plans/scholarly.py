@@ -139,6 +139,30 @@ def venue_exact(spark, d):
     return found.where("tier = 1").select(F.col("name").alias("journal"), F.col("value").alias("quartile"))
 
 
+def _ways() -> str:
+    """SQL of the list of a name's keys with abbreviations written out."""
+    out = "[lower(journal)]"
+    for short, words in scholar.ABBREVIATIONS.items():
+        texts = ", ".join(f"regexp_replace(x, '{short.replace('.', chr(92) + '.')}', '{w}')" for w in words)
+        out = f"flatten(list_transform({out}, lambda x: CASE WHEN contains(x, '{short}') THEN [{texts}] ELSE [x] END))"
+    return f"list_transform({out}, lambda x: {_KEY.format('x')})"
+
+
+_OVERRIDES = "SELECT journal AS title, 'Q0' AS quartile FROM crossref_works WHERE journal LIKE '%rch.%' GROUP BY 1 HAVING count(*) > 3"
+
+
+@query(f"""WITH o AS (SELECT {_KEY.format('title')} AS entry, 'Q0' AS value FROM ({_OVERRIDES}) GROUP BY 1), s AS (SELECT title_normalized AS entry, max(quartile) AS value FROM scimago_titles GROUP BY 1),
+  k AS (SELECT *, 0 AS tier FROM o UNION ALL SELECT *, 1 FROM s WHERE entry NOT IN (SELECT entry FROM o)), j AS (SELECT DISTINCT journal, {_KEY.format('journal')} AS key FROM crossref_works WHERE journal IS NOT NULL),
+  e AS (SELECT journal, value, tier FROM j JOIN k ON k.entry = j.key), w AS (SELECT journal, ws, unnest(range(1, len(ws) + 1)) AS pos FROM (SELECT journal, {_ways()} AS ws FROM j WHERE journal NOT IN (SELECT journal FROM e) AND contains(journal, '.')))
+  SELECT * FROM e UNION ALL SELECT journal, arg_min(value, pos), 2 FROM w JOIN k ON k.entry = ws[pos] GROUP BY 1""")
+def venue_expanded(spark, d):
+    """Venues that an override or the list has, as typed or with abbreviations written out."""
+    works = table(spark, d, "crossref_works")
+    own = works.where("journal like '%rch.%'").groupBy("journal").agg(F.count("*").alias("n")).where("n > 3").select("journal", F.lit("Q0").alias("quartile"))
+    found = scholar.venue_lookup(works, "journal", table(spark, d, "scimago_titles"), "title_normalized", "quartile", 100, own)
+    return found.select(F.col("name").alias("journal"), "value", "tier")
+
+
 @query()
 def venue_tiers(spark, d):
     """All venues that the list has exactly, abbreviated or nearly."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litspark.plans.register import registrar
+from litspark.sources.tables import table
 from litspark.streaming import progress
 
 REGISTERED: dict = {}
@@ -53,10 +54,32 @@ def stream_dedup_ttl(spark, d):
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_latest(spark, d):
     """The last event of each user."""
-    return progress.run_available(progress.latest(progress.event_stream(spark, d), "user_id"), keyed=True)
+    return progress.run_available(progress.latest(progress.event_stream(spark, d), "user_id"), keyed="user_id")
 
 
 @query("""SELECT a.user_id, a.event_id AS asked, b.event_id AS answered FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE""")
 def stream_correlation(spark, d):
     """Clicks and the purchases that follow within an hour."""
     return progress.run_available(progress.answered(progress.event_stream(spark, d), "click", "purchase", "60 minutes"))
+
+
+@query(f"""SELECT a.user_id, a.event_id AS asked, b.event_id AS answered FROM (SELECT * FROM events WHERE event_type = 'click') a JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE
+  UNION ALL SELECT user_id, event_id, NULL FROM events a WHERE event_type = 'click' AND ts + INTERVAL 60 MINUTE < {_MARK} AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE)""")
+def stream_unconfirmed(spark, d):
+    """Clicks with the purchases that follow within an hour, and those that none can follow any more."""
+    return progress.run_available(progress.answered(progress.event_stream(spark, d), "click", "purchase", "60 minutes", True))
+
+
+@query("""WITH RECURSIVE k AS (SELECT concat_ws('/', user_id, event_type) AS key, event_id, ts FROM events), t AS (SELECT key, min(ts) AS ts FROM k GROUP BY 1
+  UNION ALL SELECT t.key, (SELECT min(k.ts) FROM k WHERE k.key = t.key AND k.ts >= t.ts + INTERVAL 15 MINUTE) AS ts FROM t WHERE t.ts IS NOT NULL)
+  SELECT t.key, t.ts, (SELECT min(event_id) FROM k WHERE k.key = t.key AND k.ts = t.ts) AS event_id FROM t WHERE ts IS NOT NULL""")
+def stream_first_of_period(spark, d):
+    """Events of a user and kind, none within a quarter of an hour after one that was taken."""
+    events = progress.event_stream(spark, d).withColumn("key", F.concat_ws("/", "user_id", "event_type"))
+    return progress.run_available(progress.first_of_period(events, "key", 900))
+
+
+@query("""SELECT user_id, event_type, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS position FROM events""")
+def run_log(spark, d):
+    """The events of each user in order, numbered."""
+    return progress.run_events(table(spark, d, "events"), "user_id")

@@ -64,7 +64,7 @@ def stream_correlation(spark, d):
 
 
 @query(f"""SELECT a.user_id, a.event_id AS asked, b.event_id AS answered FROM (SELECT * FROM events WHERE event_type = 'click') a JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE
-  UNION ALL SELECT user_id, event_id, NULL FROM events a WHERE event_type = 'click' AND ts + INTERVAL 60 MINUTE < {_MARK} AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE)""")
+  UNION ALL SELECT user_id, event_id, NULL FROM events a WHERE event_type = 'click' AND ts + INTERVAL 60 MINUTE < (SELECT min(m) - INTERVAL 1 HOUR FROM (SELECT max(ts) AS m FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type)) AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE)""")
 def stream_unconfirmed(spark, d):
     """Clicks with the purchases that follow within an hour, and those that none can follow any more."""
     return progress.run_available(progress.answered(progress.event_stream(spark, d), "click", "purchase", "60 minutes", True))

@@ -140,16 +140,18 @@ def map_values(
     typed = values.select(F.col(value_col).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
     typed = written(typed.withColumn("words", words(F.col("value"))).withColumn("form", F.array_join("words", " ")), "typed")
     names = canon.select(F.col(canon_col).alias("name")).where("name is not null").distinct()
-    names = written(names.withColumn("name_words", words(F.col("name"))).where("size(name_words) > 0"), "names")
-    index = names.select("name", F.explode(_grams(F.col("name_words"))).alias("gram"))
+    names = names.withColumn("name_words", words(F.col("name"))).where("size(name_words) > 0")
+    # entries, trigrams and forms go by numbers, which are fixed once they are written
+    names = written(names.withColumn("name_id", F.monotonically_increasing_id()), "names")
+    index = names.select("name_id", F.explode(_grams(F.col("name_words"))).alias("gram"))
     weights = index.groupBy("gram").agg(F.log1p(F.lit(float(names.count())) / F.count("*")).alias("w"))
-    weights = small(written(weights, "weights"))
+    weights = small(written(weights.withColumn("gram_id", F.monotonically_increasing_id()), "weights"))
     index = index.join(weights, "gram")
-    entries = index.groupBy("name").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("gram").alias("name_grams"), F.collect_list("w").alias("weights")
+    entries = index.groupBy("name_id").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list("gram_id").alias("name_grams"), F.collect_list("w").alias("weights")
     )
-    entries = small(written(entries.join(names, "name"), "entries"))
-    index = index.join(entries.select("name", "norm"), "name").select("gram", "name", "norm", (F.col("w") * F.col("w")).alias("part"))
+    entries = small(written(entries.join(names, "name_id"), "entries"))
+    index = index.join(entries.select("name_id", "norm"), "name_id").select("gram_id", "name_id", "norm", (F.col("w") * F.col("w")).alias("part"))
     index = small(written(index, "grams"))
 
     # few bytes make much work here, so the parts are set by the cores and not by their size
@@ -165,26 +167,26 @@ def map_values(
     square = F.col("w") * F.col("w")
     asked_norms = asked.groupBy("form").agg(
         F.sum(F.coalesce(square, F.lit(1.0))).alias("whole"),
-        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct(square.alias("part"), "gram")))).alias("known"),
+        F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct(square.alias("part"), "gram_id")))).alias("known"),
     )
     # grams from the lightest; those within the share of the norm that can't lift a cosine to the threshold
     sums = F.aggregate(
         "known", F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["part"]))
     )
-    asked_norms = asked_norms.withColumn("sums", sums).withColumn("light", F.size(F.filter("sums", lambda x: x < LIGHT * threshold**2 * F.col("whole"))) - 1)
+    asked_norms = asked_norms.withColumn("sums", sums)
+    asked_norms = asked_norms.withColumn("light", F.size(F.filter("sums", lambda x: x < LIGHT * threshold**2 * F.col("whole"))) - 1)
     asked_norms = asked_norms.select(
-        "form", F.sqrt("whole").alias("form_norm"), F.element_at("sums", F.col("light") + 1).alias("rest"),
-        F.slice("known", F.col("light") + 1, F.greatest(F.size("known") - F.col("light"), F.lit(0))).alias("heavy"),
+        "form", F.sqrt("whole").alias("form_norm"), F.element_at("sums", F.col("light") + 1).alias("rest"), F.col("known.gram_id").alias("grams"),
+        F.slice("known", F.col("light") + 1, F.greatest(F.size("known") - F.col("light"), F.lit(0)))["gram_id"].alias("heavy"),
     )
-    known = written(known.join(asked_norms, "form"), "forms").repartition(parts, "form")
-    heavy = known.select("form", "form_norm", "rest", F.explode("heavy.gram").alias("gram"))
+    known = known.drop("grams").join(asked_norms, "form").withColumn("form_id", F.monotonically_increasing_id())
+    known = written(known, "forms").repartition(parts, "form_id")
+    heavy = known.select("form_id", "form_norm", "rest", F.explode("heavy").alias("gram_id"))
     # all of a form is in one part, so that its candidates are summed where they are found
-    met = heavy.join(index, "gram").groupBy("form", "name").agg(
-        F.sum("part").alias("part"), F.first("rest").alias("rest"), F.first("form_norm").alias("form_norm"), F.first("norm").alias("norm")
-    )
+    met = heavy.join(index, "gram_id").groupBy("form_id", "name_id", "form_norm", "rest", "norm").agg(F.sum("part").alias("part"))
     rest = F.least("rest", F.col("norm") * F.col("norm") - F.col("part"))
-    met = met.where(F.col("part") + rest >= (threshold - 1e-9) * F.col("form_norm") * F.col("norm")).select("form", "name")
-    pairs = met.join(known.drop("heavy", "rest"), "form").join(entries, "name").withColumn("threshold", F.lit(threshold))
+    met = met.where(F.col("part") + rest >= (threshold - 1e-9) * F.col("form_norm") * F.col("norm")).select("form_id", "name_id")
+    pairs = met.join(known.drop("heavy", "rest"), "form_id").join(entries, "name_id").withColumn("threshold", F.lit(threshold))
     checked = pairs.mapInPandas(_checked, "form string, name string, cosine double, left int")
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("left")).alias("left"), "cosine", "name")), False)
     best = checked.groupBy("form").agg(ranked.alias("r")).withColumn("next", F.get("r", F.lit(1)))

@@ -63,11 +63,17 @@ def stream_correlation(spark, d):
     return progress.run_available(progress.answered(progress.event_stream(spark, d), "click", "purchase", "60 minutes"))
 
 
-@query(f"""SELECT a.user_id, a.event_id AS asked, b.event_id AS answered FROM (SELECT * FROM events WHERE event_type = 'click') a JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE
-  UNION ALL SELECT user_id, event_id, NULL FROM events a WHERE event_type = 'click' AND ts + INTERVAL 60 MINUTE < (SELECT min(m) - INTERVAL 1 HOUR FROM (SELECT max(ts) AS m FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type)) AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE)""")
+@query("""SELECT a.user_id, a.event_id AS asked, b.event_id AS answered FROM (SELECT * FROM events WHERE event_type = 'click') a JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE
+  UNION ALL SELECT user_id, event_id, NULL FROM events a WHERE event_type = 'click' AND ts < (SELECT max(ts) - INTERVAL 6 HOUR FROM events) AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 60 MINUTE)""")
 def stream_unconfirmed(spark, d):
-    """Clicks with the purchases that follow within an hour, and those that none can follow any more."""
-    return progress.run_available(progress.answered(progress.event_stream(spark, d), "click", "purchase", "60 minutes", True))
+    """Clicks with the purchases that follow within an hour, and those of six hours before the end without one.
+
+    When exactly a click is given up depends on the watermarks of both sides, so the newest are left out.
+    """
+    out = progress.run_available(progress.answered(progress.event_stream(spark, d), "click", "purchase", "60 minutes", True))
+    events = table(spark, d, "events")
+    old = events.crossJoin(F.broadcast(events.agg((F.max("ts") - F.expr("interval 6 hours")).alias("end")))).where("event_type = 'click' and ts < end").select(F.col("event_id").alias("asked"))
+    return out.where("answered is not null").unionByName(out.where("answered is null").join(old, "asked", "left_semi").select(*out.columns))
 
 
 @query("""WITH RECURSIVE k AS (SELECT concat_ws('/', user_id, event_type) AS key, event_id, ts FROM events), t AS (SELECT key, min(ts) AS ts FROM k GROUP BY 1

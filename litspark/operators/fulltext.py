@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def postings(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, word): the distinct lower-case words of each document, split at white space."""
+def postings(documents: DataFrame, id_col: str, text_col: str, wanted: list[str] | None = None) -> DataFrame:
+    """(id, word): the distinct lower-case words of each document, split at white space; only the ``wanted`` ones leave the texts, if given."""
     words = F.array_distinct(F.split(F.lower(F.col(text_col)), r"\s+"))
+    if wanted is not None:
+        words = F.array_intersect(words, F.array(*[F.lit(w.lower()) for w in wanted]))
     return documents.select(F.col(id_col).alias("id"), F.explode(words).alias("word")).where("word <> ''")
 
 

@@ -156,16 +156,16 @@ def predicate_year_range(spark, d):
   WHERE w IN ('the', 'lattice', 'embankment') GROUP BY doc_id HAVING count(DISTINCT w) = 3""")
 def fulltext_and(spark, d):
     """Documents with three words."""
-    index = fulltext.postings(table(spark, d, "documents"), "doc_id", "text")
-    return fulltext.all_words(index, ["the", "Lattice", "embankment"]).withColumnRenamed("id", "doc_id")
+    words = ["the", "Lattice", "embankment"]
+    return fulltext.all_words(fulltext.postings(table(spark, d, "documents"), "doc_id", "text", words), words).withColumnRenamed("id", "doc_id")
 
 
 @query("""SELECT doc_id, count(DISTINCT w) AS hits FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents)
   WHERE w IN ('lattice', 'vegetation', 'böschung', 'cohort') GROUP BY doc_id""")
 def fulltext_or(spark, d):
     """Documents with any of four words, and how many of them."""
-    index = fulltext.postings(table(spark, d, "documents"), "doc_id", "text")
-    return fulltext.any_word(index, ["lattice", "vegetation", "Böschung", "cohort"]).withColumnRenamed("id", "doc_id")
+    words = ["lattice", "vegetation", "Böschung", "cohort"]
+    return fulltext.any_word(fulltext.postings(table(spark, d, "documents"), "doc_id", "text", words), words).withColumnRenamed("id", "doc_id")
 
 
 @query("""SELECT w AS word, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w FROM documents)

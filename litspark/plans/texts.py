@@ -65,10 +65,10 @@ def page_asof(spark, d):
 
 @query("""SELECT doc_id, pos, CASE WHEN pos < n_chars // 3 THEN 'introduction' WHEN pos < 2 * (n_chars // 3) THEN 'methods' WHEN pos < n_chars THEN 'results' ELSE 'unknown' END AS section,
   CASE WHEN pos < n_chars // 3 THEN 1.0::DOUBLE WHEN pos < 2 * (n_chars // 3) THEN 0.85::DOUBLE WHEN pos < n_chars THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence
-  FROM (SELECT doc_id, n_chars, unnest(range(0, 4200, 350)) AS pos FROM documents)""")
+  FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars + 350, 350)) AS pos FROM documents)""")
 def section_assign(spark, d):
     """The section of positions in every document whose thirds are sections."""
-    rows = table(spark, d, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4199).cast("long"), F.lit(350).cast("long"))).alias("pos"))
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") + 349, F.lit(350).cast("long"))).alias("pos"))
     third = F.expr("n_chars div 3")
     span = lambda label, a, b, c: F.struct(F.lit(label).alias("label"), a.cast("long").alias("char_start"), b.cast("long").alias("char_end"), F.lit(c).alias("confidence"))
     spans = F.array(span("introduction", F.lit(0), third, 1.0), span("methods", third, 2 * third, 0.85), span("results", 2 * third, F.col("n_chars"), 1.0))
@@ -162,15 +162,12 @@ def garble_flags(spark, d):
 _TOKENS = """list_distinct(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'into')))"""
 
 
-@query(f"""WITH t AS (SELECT work_id, unnest({_TOKENS}) AS w FROM crossref_works), i AS (SELECT item_key, unnest({_TOKENS}) AS w FROM library_items),
-  r AS (SELECT w FROM t GROUP BY 1 HAVING count(*) <= 20) SELECT item_key, work_id, count(*) AS overlap FROM i JOIN t USING (w) SEMI JOIN r USING (w) GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query(f"""WITH t AS (SELECT work_id, unnest({_TOKENS}) AS w FROM crossref_works), i AS (SELECT item_key, unnest({_TOKENS}) AS w FROM library_items)
+  SELECT item_key, work_id, count(*) AS overlap FROM i JOIN t USING (w) GROUP BY 1, 2 HAVING count(*) >= 3""")
 def title_tokens_overlap(spark, d):
-    """Items and works with two seldom title words in common."""
-    of = lambda t, k: table(spark, d, t).select(k, F.explode(text.title_tokens(F.col("title"))).alias("w"))
-    works, items = of("crossref_works", "work_id"), of("library_items", "item_key")
-    seldom = works.groupBy("w").agg(F.count("*").alias("n")).where("n <= 20").select("w")
-    pairs = items.join(works.join(seldom, "w", "left_semi"), "w").groupBy("item_key", "work_id").agg(F.count("*").alias("overlap"))
-    return pairs.where("overlap >= 2")
+    """Items and works with three title words in common."""
+    of = lambda t, k: table(spark, d, t).select(k, text.title_tokens(F.col("title")).alias("words"))
+    return fulltext.overlaps(of("library_items", "item_key"), of("crossref_works", "work_id"), "item_key", "work_id", "words", 3)
 
 
 @query(f"""WITH t AS (SELECT work_id, unnest({_TOKENS}) AS w FROM crossref_works), i AS (SELECT item_key, unnest({_TOKENS}) AS w FROM library_items)

@@ -62,7 +62,7 @@ FILLERS = """
 a an the to this that your you are we our is was be been has have must please and or for with in of it on off by before accessing
 page article document content site website reader view show open load continue sorry oops while because while currently reference
 number line title name required below here support s t can could cannot not no t requested request id record call last
-most recent enable enabled disabled blocked allowed active human verify need needs browser app run http https www html status code
+most recent enable enabled disabled blocked allowed active verify need needs browser app run http https www html status code
 return back try again later seconds s enter insert add type your goes item heading resource paper site journal library online
 microsoft word docx doc missing parameter author authors
 """
@@ -86,9 +86,13 @@ PLACEHOLDER = re.compile(
 #: The name of a file or the address of a page.
 FILE = re.compile(
     r"^\W*(?:microsoft word - )?[\w\-. ()]*\.(?:pdf|html?|xhtml|php|aspx?|jsp|docx?|tex|txt|rtf|xml|png|jpe?g|gif|tiff?|ps|eps|epub|pptx?|xlsx?|zip)\W*$"
-    r"|^\W*(?:https?://|www\.)\S+$|^\W*[a-z0-9\-]+(?:\.[a-z0-9\-]+)+(?:/\S*)?$|^\W*(?:document|untitled|draft|scan|image|page|file)[ _\-]?\d*\W*$",
+    r"|^\W*(?:https?://|www\.)\S+$|^\W*(?:document|untitled|draft|scan|image|page|file)[ _\-]?\d*\W*$",
     re.IGNORECASE,
 )
+#: The bare address of a site: lower case, with a usual ending, or a country's after two names or before a path. Other dotted words may be titles.
+HOST = re.compile(r"^\W*(?:[a-z0-9\-]+\.)+(?:com|org|net|edu|gov|info|example)(?:/\S*)?\W*$|^\W*(?:[a-z0-9\-]+\.){2,}[a-z]{2}(?:/\S*)?\W*$|^\W*[a-z0-9\-]+\.[a-z]{2}/\S*$")
+#: A number alone that is the code of an error; other numbers may be titles.
+CODE = re.compile(r"^\W*[45]\d\d\W*$")
 #: A site's name beside or in place of a title; a cut-off end counts.
 SITE = re.compile(r"^\w+ (?:l|li|lib|libr|libra|librar|library|o|on|onl|onli|onlin|online)$", re.IGNORECASE)
 SEPARATOR = re.compile(r"\s+(?:\||-|–|—|::|»|·)(?:\s+|$)|^(?:\||::|»|·)\s+|\s\|$")
@@ -104,7 +108,8 @@ def _automaton() -> ahocorasick.Automaton:
         if phrase.strip():
             phrase = " ".join(re.findall(r"[^\W\d_]+", phrase))
             cjk = "㐀" <= phrase[0] <= "鿿"
-            found.add_word(phrase if cjk else f" {phrase} ", (len(phrase), True))
+            # a word that alone is a message is none where a title speaks of it
+            found.add_word(phrase if cjk else f" {phrase} ", (len(phrase), True if cjk or " " in phrase else None))
     found.make_automaton()
     return found
 
@@ -134,7 +139,7 @@ def coverage(text: str | None, sites: frozenset[str] = frozenset()) -> float:
     if " " not in plain and plain.count("_") > 1 and not re.fullmatch(PLACEHOLDER, plain):
         # blanks written as underscores, those of markers such as __TITLE__ aside
         plain = re.sub(r"(?<!_)_(?!_)", " ", plain)
-    if FILE.match(plain):
+    if FILE.match(plain) or HOST.match(plain):
         return 1.0
     parts = [p.strip() for p in SEPARATOR.split(plain)]
     cut = lambda p: len(text) >= 99 and len(p) >= 4 and any(s.startswith(p) for s in sites)
@@ -152,7 +157,8 @@ def coverage(text: str | None, sites: frozenset[str] = frozenset()) -> float:
     body_letters = sum(map(str.isalpha, re.sub("\x00", "", masked)))
     words = re.findall(r"[^\W\d_]+", masked.lower())
     if not body_letters:
-        return 1.0
+        # marks alone are no title, but a number may be one
+        return 1.0 if strong or not re.search(r"\d", masked) or CODE.match(masked) else 0.0
     if words and words[-1] not in _LATIN_WORDS and _begun(words[-1]):
         words[-1] = _WORDS[bisect_left(_WORDS, words[-1])]
     latin = sum(w in _LATIN_WORDS for w in words)
@@ -165,7 +171,7 @@ def coverage(text: str | None, sites: frozenset[str] = frozenset()) -> float:
             covered[end - length : end] = b"\x01" * length
         else:
             covered[end - length + 1 : end + 1] = b"\x01" * length
-        strong |= is_phrase
+        strong |= is_phrase if is_phrase is not None else not ("of" in words and not any(map(str.isdigit, body)))
     # a phrase that the end of the text cuts off
     for k in range(len(words)):
         tail = " ".join(words[k:])

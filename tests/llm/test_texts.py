@@ -133,3 +133,10 @@ def test_stand_ins(spark):
     assert got == sorted([0, *range(len(STAND_INS))])
     assert templates.find_stand_ins(df.limit(0), "result_id", "result_title").count() == 0
     assert templates.coverage("x" * 100_000) == 0.0
+
+
+def test_titles_that_look_like_stand_ins():
+    for title in ("1984", "3.14", "Node.js", "Bioinformatics.org", "Human error", "Status of the error in the article"):
+        assert templates.coverage(title) < templates.COVERAGE, title
+    for text in ("404", "…", "quillwater.org", "www.tides.de", "reef.ac.uk/index", "Error", "ERROR 218", "Status 404", "{0}: {1}", "Please verify you are a human"):
+        assert templates.coverage(text) >= templates.COVERAGE, text

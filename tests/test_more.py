@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from litspark.operators import figures, layout, notes, quotes, retrieval, runs, scholar, sections, works
+from litspark.operators import catalog, figures, layout, notes, quotes, retrieval, runs, scholar, sections, works
 from litspark.sources import tables
 from litspark.streaming import progress
 
@@ -160,3 +160,21 @@ def test_first_of_period(spark, small):
             last = r["ts"]
             wanted.append(last)
     assert [t.timestamp() for t in got] == [t.timestamp() for t in wanted]
+
+
+def test_catalog(spark, tmp_path):
+    html = "<table><tr><th rowspan=2>a</th><th colspan='2'>b &amp; c</th></tr><tr><td>1</td><td> 2\n3 </td></tr><tr><td>x"
+    assert one(spark, "t string", [(html,), (None,), ("",)], catalog.html_rows("t")) == [([["a", "b & c", "b & c"], ["a", "1", "2 3"], []],), ([],), ([],)]
+    got = one(spark, "h array<string>, r array<array<string>>, c string", [(["x", "y"], [["1"], ["1", None, "3"], None], "T"), ([], [], None)], catalog.markdown_table(F.col("h"), F.col("r"), F.col("c")))
+    assert got[0][0] == "**T**\n\n| x | y |\n| --- | --- |\n| 1 |  |\n| 1 |  |\n|  |  |"
+    lines = spark.createDataFrame([("# c,1",), (" Nature: X , Q1",), ("none",), (None,)], "line string")
+    assert rows(catalog.override_lines(lines, "line")) == [("nature x", "Q1")]
+    (tmp_path / "v.csv").write_text("title_normalized,quartile\nnature,Q1\n,Q2\ncell,\nnature,Q2\n")
+    assert rows(catalog.venue_dimension(spark, str(tmp_path / "v.csv"))) == [("nature", "Q2")]
+    groups = spark.createDataFrame([(1, 7)], "group_id int, library_id int")
+    assert catalog.group_library(groups, 1) == 7
+    with pytest.raises(ValueError, match="no group"):
+        catalog.group_library(groups, 2)
+    path = catalog.attachment_path(F.col("p"), F.col("m"), F.col("k"), "/l")
+    assert one(spark, "p string, m int, k string", [("storage:a.pdf", 0, "K"), ("storage:a.pdf", 2, "K"), ("a.pdf", 0, "K"), (None, 0, "K")], path) == [("/l/storage/K/a.pdf",), (None,), (None,), (None,)]
+    assert one(spark, "c array<string>", [(["ﬁeld", "the eld", "field", "x"],)], catalog.ligature_cells(F.col("c"))) == [(2,)]

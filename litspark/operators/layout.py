@@ -72,8 +72,14 @@ def free_points(boxes: DataFrame, clear: float = 24.0, away: float = 12.0) -> Da
     place = lambda k, x, y: F.struct(F.lit(k).alias("place"), x.alias("x"), y.alias("y"))
     places = F.array(place(0, b["x1"] + away, mid_y), place(1, b["x0"] - away, mid_y), place(2, mid_x, b["y0"] - away), place(3, mid_x, b["y1"] + away))
     points = boxes.select("id", "doc", "page", F.explode(places).alias("p")).select("id", "doc", "page", "p.place", "p.x", "p.y")
+    # points meet the boxes of the cells around them, as far as ``clear`` reaches
+    cell = lambda v: F.floor(v / 100.0).cast("int")
+    points = points.withColumn("cx", cell(F.col("x"))).withColumn("cy", cell(F.col("y")))
     other = boxes.select(F.col("id").alias("other"), "doc", "page", F.col("box").alias("foreign"))
-    near = points.join(other, ["doc", "page"]).where((F.col("other") != F.col("id")) & (distance(F.col("x"), F.col("y"), F.col("foreign")) < clear))
+    o = F.col("foreign")
+    other = other.withColumn("cx", F.explode(F.sequence(cell(o["x0"] - clear), cell(o["x1"] + clear))))
+    other = other.withColumn("cy", F.explode(F.sequence(cell(o["y0"] - clear), cell(o["y1"] + clear))))
+    near = points.join(other, ["doc", "page", "cx", "cy"]).where((F.col("other") != F.col("id")) & (distance(F.col("x"), F.col("y"), F.col("foreign")) < clear))
     free = points.join(near.select("id", "place").distinct(), ["id", "place"], "left_anti")
     return free.groupBy("id").agg(F.min(F.struct("place", "x", "y")).alias("p")).select("id", F.col("p.place").cast("long").alias("place"), "p.x", "p.y")
 

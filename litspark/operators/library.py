@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from litspark.sources.tables import small, written
+
 
 def to_fields(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """(item, field, value): one row for each non-null column value of each row."""
@@ -59,16 +61,17 @@ def usage(items: DataFrame, list_col: str, out: str) -> DataFrame:
 def tree_paths(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """(node, depth, path) of a forest (node, parent, name); roots have a null parent.
 
-    The levels are joined one after the other until no child is left, so the number of joins is
-    the depth of the tree. A node whose parent is missing has no path.
+    The levels are joined one after the other until no child is left, and each is written, so that
+    no level is made again for the next. A node whose parent is missing has no path.
     """
-    level = nodes.where("parent is null").select("node", F.lit(0).alias("depth"), F.col("name").alias("path"))
+    level = written(nodes.where("parent is null").select("node", F.lit(0).alias("depth"), F.col("name").alias("path")), "level")
     out = level
     depth = 0
     while True:
         parents = level.select(F.col("node").alias("parent"), F.col("path").alias("above"))
         depth += 1
-        level = nodes.join(parents, "parent").select("node", F.lit(depth).alias("depth"), F.concat_ws("/", "above", "name").alias("path"))
+        level = nodes.join(small(parents), "parent").select("node", F.lit(depth).alias("depth"), F.concat_ws("/", "above", "name").alias("path"))
+        level = written(level, "level")
         if level.isEmpty():
             return out
         out = out.unionByName(level)

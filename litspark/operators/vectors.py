@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass over the rows scores together.
+from litspark.sources.tables import small, written
+
+#: Vectors of a block.
 BLOCK = 2048
 # Weights of sections and venue quartiles, and what unknown ones weigh.
 SECTION_WEIGHTS = {
@@ -20,51 +22,50 @@ QUARTILE_WEIGHTS = {"Q1": 1.0, "Q2": 0.85, "Q3": 0.65, "Q4": 0.45}
 OTHER, ALPHA = 0.7, 0.7
 
 
+def _packed(vectors: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    """(ids, matrix): the unit vectors of up to ``size`` rows as one row of bytes."""
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null and id is not null")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), size):
+                v = np.stack(b["v"].to_numpy()[at : at + size])
+                norms = np.linalg.norm(v, axis=1, keepdims=True)
+                yield pd.DataFrame({"ids": [b["id"].to_numpy()[at : at + size]], "matrix": [(v / np.where(norms > 0, norms, 1)).tobytes()]})
+
+    return rows.mapInPandas(pack, f"ids array<{kind}>, matrix binary")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): for each query the k rows of highest cosine, itself included.
 
-    All rows are scored against all queries, in blocks of queries; each batch of rows keeps its k
-    best of each query before the shuffle. Scores are rounded to 6 digits, ties go to the
-    smaller id. Null vectors have no score; a vector of zeros has score 0.
+    Rows and queries are packed in blocks, and every block of rows meets every block of queries
+    in the tasks, where the k best of each query are kept; the queries are broadcast if they are
+    small. Scores are rounded to 6 digits, ties go to the smaller id. Null vectors have no score;
+    a vector of zeros has score 0; repeated ids are rows of their own.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-    spark, out, block, done = vectors.sparkSession, None, [], False
-    stream = asked.orderBy("id").toLocalIterator()
-
-    def scorer(ids: np.ndarray, matrix: np.ndarray):  # noqa: ANN202
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q_ids, q = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                v = np.stack(b["v"].to_numpy())
-                norms = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.round(q @ (v / np.where(norms > 0, norms, 1)).T, 6)
-                own = b["id"].to_numpy()
-                at = np.argsort(own, kind="stable")
-                best = at[np.argsort(-s[:, at], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame(
-                    {"query_id": np.repeat(q_ids, best.shape[1]), "id": own[best].ravel(), "score": np.take_along_axis(s, best, axis=1).ravel()}
-                )
-
-        return rows.mapInPandas(scored, f"query_id {kind}, id {kind}, score double")
-
-    while not done:
-        row = next(stream, None)
-        done = row is None
-        if row is not None:
-            block.append(row)
-        if block and (done or len(block) == BLOCK):
-            matrix = np.array([r["v"] for r in block])
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            part = scorer(np.array([r["id"] for r in block]), matrix / np.where(norms > 0, norms, 1))
-            out, block = part if out is None else out.unionByName(part), []
-    if out is None:
-        return spark.createDataFrame([], f"query_id {kind}, id {kind}, score double, rank int")
+    asked = written(_packed(queries, id_col, vector_col, BLOCK), "queries").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, matrix, q_ids, q_matrix in zip(b["ids"], b["matrix"], b["q_ids"], b["q_matrix"]):
+                at = np.argsort(ids, kind="stable")
+                v, q = (np.frombuffer(m).reshape(len(i), -1) for i, m in ((ids, matrix), (q_ids, q_matrix)))
+                s = np.round(q @ v[at].T, 6)
+                n = min(k, s.shape[1])
+                # all that reach the n-th score, of which the first n by score and id stay
+                least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+                query, place = np.nonzero(s >= least)
+                order = np.lexsort((place, -s[query, place], query))
+                query, place = query[order], place[order]
+                first = np.arange(len(query)) - np.searchsorted(query, query) < n
+                query, place = query[first], place[first]
+                yield pd.DataFrame({"query_id": np.asarray(q_ids)[query], "id": np.asarray(ids)[at][place], "score": s[query, place]})
+
+    met = _packed(vectors, id_col, vector_col, BLOCK).crossJoin(small(asked))
+    out = met.mapInPandas(best, f"query_id {kind}, id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -105,7 +105,7 @@ _SIGN = {k: p.replace("'", "''") for k, p in text.SIGNS.items()}
 _ENTRY = "(regexp_matches(x, '" + text.COUNTED + "') OR (regexp_matches(x, '" + _SIGN["year"] + "') AND (" + " OR ".join(f"regexp_matches(x, '{_SIGN[k]}')" for k in ("address", "extent", "initials")) + ")))"
 
 
-@query(f"""WITH l AS (SELECT meta_id, length(trim(coalesce(document, ''))) AS n_chars, list_filter(list_transform(string_split(coalesce(document, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s', ' ', 'g'))), lambda x: x <> '') AS ls FROM chunk_records),
+@query(f"""WITH l AS (SELECT meta_id, length(trim(coalesce(document, ''))) AS n_chars, list_filter(list_transform(string_split(coalesce(document, ''), chr(10)), lambda x: trim(regexp_replace(x, '\\s', ' ', 'g'))), lambda x: x <> '') AS ls FROM chunk_records),
   c AS (SELECT *, len(ls) AS n, len(list_filter(ls, lambda x: {_ENTRY})) AS entries, len(list_filter(ls, lambda x: regexp_matches(x, '{text.COUNTED}'))) AS counted, len(list_filter(ls, lambda x: regexp_matches(x, '{_SIGN["address"]}'))) AS addressed FROM l)
   SELECT meta_id, coalesce(lower(trim(translate(ls[1], '#*_.:', '     '))) IN {text.BIBLIOGRAPHY_HEADINGS}, false) OR (n_chars >= 250 AND ((n >= 4 AND entries >= 0.45 * n) OR counted >= 3 OR (addressed >= 3 AND entries >= 0.3 * n))) AS reference_like FROM c""")
 def reference_like(spark, d):

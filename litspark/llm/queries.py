@@ -223,6 +223,26 @@ def p10_clusters(spark: SparkSession, d: str) -> DataFrame:
     return removal_clusters(span_links(_starts(spark, d)[1])).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_reliability": p1_reliability, "p2_found": p2_found, "p2_unmatched": p2_unmatched, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_repaired": p4_repaired, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_kept": p6_kept, "p7_found": p7_found, "p7_collapsed": p7_collapsed, "p7_records": p7_records, "p8_found": p8_found, "p8_report": p8_report, "p9_mix_selection": p9_mix_selection, "p9_mix_shares": p9_mix_shares, "p9_mix_fixed_total": p9_mix_fixed_total, "p9_mix_short_shares": p9_mix_short_shares,
-    "p10_found": p10_found, "p10_shared_share": p10_shared_share, "p10_links": p10_links, "p10_clusters": p10_clusters}
-ORACLE: dict[str, str] = {}
+_WINDOWS = """SELECT doc_id, pos, md5(substr(text, pos + 1, 300)) AS w FROM (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS pos FROM documents WHERE length(text) >= 300)"""
+_PAIRS = f"SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, w FROM ({_WINDOWS})) a JOIN (SELECT DISTINCT doc_id, w FROM ({_WINDOWS})) b ON a.w = b.w AND a.doc_id < b.doc_id"
+_COPY_KEY = "array_to_string(list_sort([regexp_replace(lower(coalesce(CAST(x AS VARCHAR), '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g') for x in [{}]]), chr(31))"
+
+ORACLE: dict[str, str] = {
+    "p7_records": f"""SELECT rec_table, min(id) AS first_id, count(*) AS copies FROM (SELECT 'crossref_works' AS rec_table, work_id AS id, {_COPY_KEY.format("title, journal")} AS key FROM crossref_works
+        UNION ALL SELECT 'detected_captions', caption_id, {_COPY_KEY.format("item_key, caption_type, text")} FROM detected_captions) GROUP BY rec_table, key HAVING count(*) > 1""",
+    "p10_found": _PAIRS,
+    "p10_clusters": f"""WITH RECURSIVE e AS (SELECT doc_id_a AS a, doc_id_b AS b FROM ({_PAIRS}) UNION SELECT doc_id_b, doc_id_a FROM ({_PAIRS})), r AS (SELECT DISTINCT a AS doc_id, a AS reached FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+        SELECT doc_id, min(reached) AS cluster FROM r GROUP BY 1""",
+    "p10_shared_share": f"""WITH w AS ({_WINDOWS}), s AS (SELECT w.doc_id, pos, pos - lag(pos, 1, -1000000000) OVER (PARTITION BY doc_id ORDER BY pos) AS step FROM w SEMI JOIN (SELECT w FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)) k USING (w)),
+        p AS (SELECT doc_id, CAST(sum(least(step, 300)) AS BIGINT) AS shared_chars, CAST(sum(CASE WHEN step > 300 THEN 1 ELSE 0 END) AS BIGINT) AS spans FROM s GROUP BY 1)
+        SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(spans, 0) AS spans, CASE WHEN length(text) > 0 THEN coalesce(shared_chars, 0) / length(text) ELSE 0.0 END AS shared FROM documents LEFT JOIN p USING (doc_id)""",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_reliability, p2_found, p2_unmatched, p3_found, p3_restored, p4_found, p4_repaired, p5_found, p5_confidence, p6_found, p6_kept, p7_found,
+        p7_collapsed, p7_records, p8_found, p8_report, p9_mix_selection, p9_mix_shares, p9_mix_fixed_total, p9_mix_short_shares, p10_found, p10_shared_share,
+        p10_links, p10_clusters,
+    )
+}

@@ -77,11 +77,18 @@ class Lexicon:
     best: dict[str, str] = field(default_factory=dict)
     wrong: dict[str, str] = field(default_factory=dict)
     contexts: dict[tuple[str, str], int] = field(default_factory=dict)
+    ends: set[str] = field(default_factory=set)
+    supported: dict[tuple[str, str], tuple[int, str]] | None = None
 
     def __post_init__(self) -> None:
         groups: dict[str, list[str]] = {}
         for w in filter(_readable, self.words):
             groups.setdefault(skeleton(w), []).append(w)
+        # what a compound begins and ends with, part by part, and the best supported form after each word
+        for c in self.compounds:
+            parts = c.split("-")
+            for k in range(2, len(parts) + 1):
+                self.ends.update(("-".join(parts[:k]), "-".join(parts[-k:])))
         for strokes, forms in groups.items():
             forms.sort(key=lambda w: (-self.words[w], not w.isalpha(), w))
             self.best[strokes] = forms[0]
@@ -114,8 +121,11 @@ class Lexicon:
         if low not in self.wrong and self.words[best] < support:
             return None
         if self.contexts:
-            near = [(n, w) for (b, w), n in self.contexts.items() if b == before and skeleton(w) == strokes]
-            best = max(near)[1] if near else best
+            if self.supported is None:
+                self.supported = {}
+                for (b, w), n in self.contexts.items():
+                    self.supported[b, skeleton(w)] = max(self.supported.get((b, skeleton(w)), (0, "")), (n, w))
+            best = self.supported.get((before, strokes), (0, best))[1]
         return best
 
 
@@ -191,6 +201,8 @@ def header_lines(text: str, lexicon: Lexicon) -> list[int]:
             column = any(NUMBER.match(x.strip()) or x.strip().endswith(":") for x in around)
             if PAGE_NUMBER.match(plain) and (not column or not plain[0].isdigit()):
                 found.append(k)
+        elif mask(plain) in lexicon.shapes and not HEADING.match(plain) and not (LISTED.match(line) and not re.search(r"\s\|\s|^-\s*\d+\s*-$", line)):
+            found.append(k)
         elif PAGE.match(plain):
             found.append(k)
         elif LISTED.match(line) and not re.search(r"\s\|\s|^-\s*\d+\s*-$", line):
@@ -199,8 +211,6 @@ def header_lines(text: str, lexicon: Lexicon) -> list[int]:
             found.append(k)
         elif FURNITURE.search(plain) and not HEADING.match(plain.replace("  ", "")) and not re.search(r"[.:;,]$", re.sub(r"(?i)et al\.$", "", plain)):
             found.append(k)
-        elif mask(plain) in lexicon.shapes and not HEADING.match(plain):
-            found.append(k)
     return found
 
 
@@ -214,7 +224,7 @@ def broken(match: re.Match, lexicon: Lexicon) -> bool:
         return "\n" in mark or lexicon.words.get(joined, 0) >= WORD
     if "\n" in mark:
         # the part before may be the end of a longer compound
-        return joined in lexicon.words or not (whole in lexicon.compounds or any(c.endswith(whole) or c.startswith(whole) for c in lexicon.compounds))
+        return joined in lexicon.words or whole not in lexicon.ends
     return lexicon.words.get(joined, 0) >= SUPPORT and lexicon.words.get(joined, 0) > lexicon.compounds.get(whole, 0)
 
 

@@ -11,10 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from litspark.sources.tables import written
+
 #: Occurrences from which a form counts as a word, and by which a form must be outnumbered by its look-alike.
 WORD, OUTNUMBERED, SHORT_OUTNUMBERED = 5, 60, 400
 #: Occurrences of a look-alike, or of a joined word, that make an unknown form or two pieces suspect.
 SUPPORT = 20
+#: Share of all tokens from which a form, compound or pair counts too, which bounds the lexicon by five million entries
+#: however large the corpus is.
+SHARE = 2e-7
 #: Lines of at most this length are looked at as headers; a masked line is usual from this many
 #: occurrences, and from this share of the texts.
 LINE, USUAL, USUAL_SHARE = 60, 12, 0.0008
@@ -140,7 +145,7 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if "\n" in text:
                 shapes.update(mask(line) for line in text.split("\n") if 0 < len(line) <= LINE and any(map(str.isdigit, line)))
         rows = [("w", w, n) for w, n in words.items()] + [("c", w, n) for w, n in compounds.items()] + [("s", w, n) for w, n in shapes.items()]
-        rows.append(("t", "", len(b)))
+        rows += [("t", "", len(b)), ("n", "", sum(words.values()))]
         yield pd.DataFrame(rows, columns=["kind", "name", "n"])
 
 
@@ -154,15 +159,18 @@ def header_shape(shape: str) -> bool:
 def learn(texts: DataFrame) -> Lexicon:
     """The lexicon of all texts (one column, text).
 
-    Words below WORD and masked lines below USUAL occurrences tell nothing and stay on the
-    executors; what remains is the vocabulary of the languages, which grows far slower than
-    the texts.
+    Words below WORD occurrences and below SHARE of all tokens, and masked lines below USUAL, tell
+    nothing and stay on the executors, whatever their number. What remains has a proven bound: at
+    most 1 / SHARE words, compounds and pairs each.
     """
     rows = texts.where("text is not null").mapInPandas(_tally, "kind string, name string, n long")
-    counts = rows.groupBy("kind", "name").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= F.when(F.col("kind") == "s", USUAL).when(F.col("kind") == "c", 2).otherwise(WORD))
-    found: dict[str, dict[str, int]] = {"w": {}, "c": {}, "s": {}, "t": {"": 0}}
-    for r in counts.toLocalIterator():
+    counts = written(rows.groupBy("kind", "name").agg(F.sum("n").alias("n")), "counts")
+    whole = {r["kind"]: r["n"] for r in counts.where("kind in ('t', 'n')").collect()}
+    share = SHARE * whole.get("n", 0)
+    least = F.when(F.col("kind") == "s", F.lit(float(USUAL))).when(F.col("kind") == "c", F.lit(max(2.0, share))).otherwise(F.lit(max(float(WORD), share)))
+    found: dict[str, dict[str, int]] = {"w": {}, "c": {}, "s": {}, "t": {"": whole.get("t", 0)}, "n": {}}
+    usual = (F.col("kind") != "s") | (F.col("n") >= USUAL_SHARE * whole.get("t", 0))
+    for r in counts.where((F.col("n") >= least) & usual & ~F.col("kind").isin("t", "n")).toLocalIterator():
         found[r["kind"]][r["name"]] = r["n"]
     shapes = frozenset(s for s, n in found["s"].items() if n >= USUAL_SHARE * found["t"][""] and header_shape(s))
     lexicon = Lexicon(found["w"], found["c"], shapes)
@@ -178,7 +186,7 @@ def learn(texts: DataFrame) -> Lexicon:
                 yield pd.DataFrame([(x, y, n) for (x, y), n in near.items()], columns=["before", "word", "n"])
 
         near = texts.where("text is not null").mapInPandas(pairs, "before string, word string, n long")
-        near = near.groupBy("before", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD)
+        near = near.groupBy("before", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(float(WORD), share))
         lexicon.contexts = {(r["before"], r["word"]): r["n"] for r in near.toLocalIterator()}
     return lexicon
 

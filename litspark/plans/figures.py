@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litspark.operators import figures, quotes
+from litspark.operators import figures, formulas, quotes
 from litspark.plans.register import registrar
 from litspark.sources.tables import table
 
@@ -199,3 +199,38 @@ def placement_coverage(spark, d):
 def rects_merged(spark, d):
     """Boxes of each page, joined where they are near and above each other."""
     return figures.merged(_boxes(spark, d), 60.0).select("doc", "page", "no", "box.x0", "box.y0", "box.x1", "box.y1")
+
+
+_SIGNS = formulas.SYMBOLS.replace("'", "''")
+_SCORED = f"""SELECT meta_id, document AS t, 10.0 * chunk_index AS wide, 4.0 + page_num AS high, chunk_type = 'formula' AS font, section_confidence > 0.8 AS flags, length(document) AS n, len(regexp_extract_all(document, '{_SIGNS}')) AS signs,
+  len(regexp_extract_all(document, '{formulas.WORDS}')) AS words FROM chunk_records"""
+
+
+@query(f"""SELECT meta_id, CASE WHEN t IS NULL OR n NOT BETWEEN 4 AND 900 OR regexp_matches(t, '{formulas.NOISE}') OR wide < 8 OR high < 5 THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN signs >= 2 THEN 0.25 ELSE 0 END + CASE WHEN signs / n >= 0.04 THEN 0.2 ELSE 0 END
+  + CASE WHEN font THEN 0.22 ELSE 0 END + CASE WHEN flags THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(t, '{formulas.NUMBERED}') THEN 0.08 ELSE 0 END + CASE WHEN wide > 80 AND high < 120 THEN 0.08 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '\\b[A-Za-z]\\s*[=<>≈]\\s*') THEN 0.15 ELSE 0 END - CASE WHEN words > 14 AND signs / n < 0.08 THEN 0.25 ELSE 0 END)), 6) END AS score FROM ({_SCORED})""")
+def formula_score(spark, d):
+    """How likely each passage is a formula."""
+    rows = table(spark, d, "chunk_records")
+    font, flags = F.col("chunk_type") == "formula", F.coalesce(F.col("section_confidence") > 0.8, F.lit(False))
+    score = formulas.formula_score(F.col("document"), 10.0 * F.col("chunk_index"), 4.0 + F.col("page_num"), font, flags)
+    return rows.select("meta_id", F.round(score, 6).alias("score"))
+
+
+@query(f"""SELECT meta_id, length(t) BETWEEN 3 AND 1500 AND NOT regexp_matches(t, '{formulas.NOISE}') AND len(list_distinct(string_split(t, ''))) > 2 AND (len(regexp_extract_all(t, '{_SIGNS}')) >= 2 OR contains(t, chr(92)) OR (contains(t, '=') AND regexp_matches(t, '[A-Za-z][_^]|\\b[A-Za-z]\\b'))) AS useful
+  FROM (SELECT meta_id, trim(coalesce(document, '')) AS t FROM chunk_records WHERE chunk_type IN ('formula', 'table'))""")
+def latex_quality(spark, d):
+    """Formulas and tables that read like a formula's source."""
+    rows = table(spark, d, "chunk_records").where("chunk_type in ('formula', 'table')")
+    return rows.select("meta_id", formulas.useful_latex(F.col("document")).alias("useful"))
+
+
+@query("""WITH t AS (SELECT caption_id AS thing_id, item_key AS doc, page_num AS page, y_center AS y FROM detected_captions WHERE number IS NULL OR caption_type = 'table'), c AS (SELECT caption_id, item_key AS doc, page_num AS page, y_center AS y FROM detected_captions WHERE caption_type = 'figure'),
+  m AS (SELECT thing_id, caption_id, abs(t.y - c.y) AS away, row_number() OVER (PARTITION BY thing_id ORDER BY abs(t.y - c.y), caption_id) AS n FROM t JOIN c USING (doc, page) WHERE abs(t.y - c.y) <= 300)
+  SELECT thing_id, caption_id FROM (SELECT *, row_number() OVER (PARTITION BY caption_id ORDER BY away, thing_id) AS k FROM m WHERE n = 1) WHERE k = 1""")
+def captions_recovered(spark, d):
+    """The figure's caption nearest to each table's on its page."""
+    boxes = _boxes(spark, d)
+    things = boxes.where("number is null or caption_type = 'table'").select(F.col("id").alias("thing_id"), "doc", "page", F.col("y_center").alias("y"))
+    captions = boxes.where("caption_type = 'figure'").select(F.col("id").alias("caption_id"), "doc", "page", F.col("y_center").alias("y"))
+    return formulas.recovered_captions(things, captions, 300.0)

@@ -164,7 +164,8 @@ def learn(texts: DataFrame) -> Lexicon:
     most 1 / SHARE words, compounds and pairs each.
     """
     rows = texts.where("text is not null").mapInPandas(_tally, "kind string, name string, n long")
-    counts = written(rows.groupBy("kind", "name").agg(F.sum("n").alias("n")), "counts")
+    counts = rows.groupBy("kind", "name").agg(F.sum("n").alias("n")).where("n > 1 or kind in ('t', 'n')")
+    counts = written(counts, "counts")
     whole = {r["kind"]: r["n"] for r in counts.where("kind in ('t', 'n')").collect()}
     share = SHARE * whole.get("n", 0)
     least = F.when(F.col("kind") == "s", F.lit(float(USUAL))).when(F.col("kind") == "c", F.lit(max(2.0, share))).otherwise(F.lit(max(float(WORD), share)))

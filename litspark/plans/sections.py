@@ -42,7 +42,7 @@ def _lines(spark, d):
 @query(f"SELECT doc_id, pos AS start_char, length(line) AS size FROM ({_LINES})")
 def line_offsets(spark, d):
     """Where the lines of each document begin."""
-    return _lines(spark, d).select("doc_id", F.col("at").alias("start_char"), F.length("line").alias("size"))
+    return _lines(spark, d).select("doc_id", F.col("at").alias("start_char"), F.length("line").cast("long").alias("size"))
 
 
 @query(f"SELECT doc_id, pos AS start_char, label FROM ({_INLINE}) WHERE label IS NOT NULL")

@@ -88,6 +88,20 @@ def test_records_matched(spark):
     assert matching.match_records(left.limit(0), right, labels).count() == 0
 
 
+def test_common_names_matched(spark):
+    schema = "id %s, title string, names_text string, year int"
+    works = [
+        (1, "Deep water models of the northern basin and its tides", "Ann Leeward", 2010), (2, "Slow currents along southern reefs in winter months", "Ann Leeward", None),
+        (3, "Warm eddies over eastern shelves and their slow return", "Ann Leeward", 1990),
+    ]
+    # a name of so many records is common
+    works += [(100 + i, f"Preface {i}", "Ann Leeward", 1950) for i in range(30)]
+    items = [("A", "Deep water models of…", "Leeward, A.", 2011), ("B", "Slow currents along southern reefs in winter…", "Leeward, A.", 2003), ("C", "Warm eddies over…", "Leeward, A.", 2003)]
+    left, right = spark.createDataFrame(items, schema % "string"), spark.createDataFrame(works, schema % "long")
+    got = matching.match_records(left, right, spark.createDataFrame([], "id long, label string")).collect()
+    assert sorted((r["a_id"], r["b_id"]) for r in got) == [("A", 1), ("B", 2)]
+
+
 def test_fill_and_budgets():
     assert mixing.fill({"a": 0, "b": 0}, {"a": 1, "b": 1}, {"a": 2, "b": 100}, 10) == {"a": 2, "b": 8}
     assert mixing.fill({"a": 0}, {"a": 1}, {"a": 3}, 10) == {"a": 3}

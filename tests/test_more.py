@@ -146,6 +146,37 @@ def test_quotes(spark):
     assert rows(quotes.placed(asked, pages), "quote_id") == [(1, 2, "ambiguous"), (2, None, "short"), (3, None, "missing")]
 
 
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 4)))
+    texts = {(d, p): " ".join(word() for _ in range(rng.randrange(0, 60))) for d in "xy" for p in range(1, 6)}
+    asked = []
+    for k in range(300):
+        t = texts[rng.choice("xy"), rng.randrange(1, 6)]
+        at = rng.randrange(len(t) + 1)
+        asked.append((k, rng.choice("xyz"), t[at : at + rng.randrange(0, 70)], rng.choice([None, *range(7)])))
+    wanted = []
+    for k, d, q, hint in asked:
+        on = [p for p in range(1, 6) if len(q) >= 4 and q in texts.get((d, p), "")]
+        page = min(on, key=lambda p: (p != hint, p)) if on else None
+        wanted.append((k, page, "short" if len(q) < 4 else "missing" if page is None else "ambiguous" if texts[d, page].count(q) > 1 else "placed"))
+    assert {s for _, _, s in wanted} == {"short", "missing", "ambiguous", "placed"}
+    pages = spark.createDataFrame([(d, p, t) for (d, p), t in texts.items()], "doc string, page int, text string")
+    df = spark.createDataFrame(asked, "quote_id int, doc string, quote string, hint int")
+    assert rows(quotes.placed(df, pages, 4), "quote_id") == wanted
+    assert quotes.placed(df.limit(0), pages).count() == 0
+
+
+def test_quotes_of_a_long_document(spark):
+    # no text of a page meets the quotes of its document: that would be 25 million pairs here
+    text = F.concat_ws(" ", *[F.hex(F.xxhash64("id", F.lit(k))) for k in range(4)])
+    pages = spark.range(5000).select(F.lit("d").alias("doc"), F.col("id").cast("int").alias("page"), text.alias("text"))
+    asked = pages.select(F.col("page").alias("quote_id"), "doc", F.substring("text", 9, 30).alias("quote"), F.lit(-1).alias("hint"))
+    placed = quotes.placed(asked, pages)
+    assert "contains(" not in placed._jdf.queryExecution().toString().lower()
+    assert placed.where("state = 'placed' and page = quote_id").count() == 5000
+
+
 def test_small_and_shared_folder(spark):
     assert "broadcast" in tables.small(spark.range(10))._jdf.queryExecution().toString().lower()
     assert "broadcast" not in tables.small(spark.range(10), 1)._jdf.queryExecution().logical().toString().lower()

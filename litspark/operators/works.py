@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.functions.text import title_tokens
+from litspark.operators import fulltext
 
 # The item types of external types; others are articles.
 TYPES = {
@@ -118,17 +119,11 @@ def names_resolved(names: DataFrame, name: str, known: DataFrame, known_name: st
 def titles_resolved(asked: DataFrame, titles: DataFrame, least: int = 3, times: float = 2.0) -> DataFrame:
     """(ask_id, item, overlap): the title that each asked title means by its words.
 
-    Titles are (item, title), asked ones (ask_id, title). A title is meant if it shares at least
-    ``least`` words and ``times`` as many as the next one; rarer words are joined first: titles
-    meet by words, and a pair is counted from its common words.
+    Titles are (item, title), asked ones (ask_id, title); ids are distinct. A title is meant if it
+    shares at least ``least`` words and ``times`` as many as the next one.
     """
-    words = titles.select("item", F.explode(title_tokens(F.col("title"))).alias("w"))
-    query = asked.select("ask_id", F.explode(title_tokens(F.col("title"))).alias("w"))
-    pairs = query.join(words, "w").groupBy("ask_id", "item").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= 1)
-    best = pairs.groupBy("ask_id").agg(F.max(F.struct("overlap", "item")).alias("first"))
-    rest = pairs.join(best, "ask_id").where(F.col("item") != F.col("first.item")).groupBy("ask_id").agg(F.max("overlap").alias("next"))
-    out = best.join(rest, "ask_id", "left").where((F.col("first.overlap") >= least) & (F.col("first.overlap") >= times * F.coalesce("next", F.lit(0))))
-    return out.select("ask_id", "first.item", "first.overlap")
+    of = lambda df, key: df.select(key, title_tokens(F.col("title")).alias("words"))
+    return fulltext.clear_best(of(asked, "ask_id"), of(titles, "item"), "ask_id", "item", "words", least, times)
 
 
 def best_of_key(rows: DataFrame, key: str, order: str, sources: str) -> DataFrame:

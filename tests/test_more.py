@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from litspark.operators import catalog, figures, layout, notes, quotes, retrieval, runs, scholar, sections, works
+from litspark.operators import catalog, figures, fulltext, layout, notes, quotes, retrieval, runs, scholar, sections, works
 from litspark.sources import tables
 from litspark.streaming import progress
 
@@ -177,6 +177,27 @@ def test_quotes_of_a_long_document(spark):
     assert placed.where("state = 'placed' and page = quote_id").count() == 5000
 
 
+def test_titles_resolved_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(fulltext, "ROWS", 50)
+    monkeypatch.setattr(fulltext, "ASKED", 30)
+    some = lambda: " ".join(rng.choices([f"word{k}" for k in range(40)], [40 - k for k in range(40)], k=rng.randrange(0, 9)))
+    titles = [(f"i{k:03}", some()) for k in range(200)] + [("none", None)]
+    asked = [(k, rng.choice([some(), rng.choice(titles)[1], None])) for k in range(150)]
+    wanted = []
+    for k, q in asked:
+        counts = sorted(((len(set((q or "").split()) & set((t or "").split())), i) for i, t in titles), reverse=True)
+        if counts[0][0] >= 3 and counts[0][0] >= 2 * counts[1][0]:
+            wanted.append((k, counts[0][1], counts[0][0]))
+    assert wanted
+    of = lambda found, names: spark.createDataFrame(found, names)
+    resolved = works.titles_resolved(of(asked, "ask_id int, title string"), of(titles, "item string, title string"))
+    assert rows(resolved, "ask_id") == wanted
+    # no row for each pair of an asked word and a title leaves a join
+    assert "explode" not in resolved._jdf.queryExecution().optimizedPlan().toString().lower().split("mapinarrow")[0]
+    assert works.titles_resolved(of(asked, "ask_id int, title string").limit(0), of(titles, "item string, title string")).count() == 0
+
+
 def test_small_and_shared_folder(spark):
     assert "broadcast" in tables.small(spark.range(10))._jdf.queryExecution().toString().lower()
     assert "broadcast" not in tables.small(spark.range(10), 1)._jdf.queryExecution().logical().toString().lower()

@@ -176,3 +176,10 @@ def placed(quotes: DataFrame, pages: DataFrame, least: int = LEAST) -> DataFrame
     best = met.groupBy("quote_id").agg(F.min_by("p", F.struct((F.col("p.page") != F.col("hint")).alias("other"), "p.page")).alias("p"))
     state = F.when(F.col("short"), "short").when(F.col("p").isNull(), "missing").when(F.col("p.twice"), "ambiguous").otherwise("placed")
     return asked.join(best, "quote_id", "left").select("quote_id", F.col("p.page").alias("page"), state.alias("state"))
+
+
+def coverage(quotes: DataFrame, pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """(state, n): how many quotes are short, found and missing; which page it is doesn't matter here."""
+    met = found(quotes, pages, least).select("doc", "quote").distinct().withColumn("met", F.lit(True))
+    state = F.when(F.length("quote") < least, "short").when(F.col("met"), "found").otherwise("missing")
+    return quotes.join(met, ["doc", "quote"], "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))

@@ -172,27 +172,30 @@ _QUOTES = "SELECT meta_id AS quote_id, item_key AS doc, trim(substr(regexp_repla
 _QPAGES = "SELECT item_key AS doc, page_num AS page, string_agg(regexp_replace(document, '\\s+', ' ', 'g'), ' ' ORDER BY meta_id) AS text FROM chunk_records WHERE document IS NOT NULL AND item_key IS NOT NULL GROUP BY 1, 2"
 
 
-@query(f"""WITH q AS ({_QUOTES}), p AS ({_QPAGES}), m AS (SELECT q.quote_id, p.page, p.page <> q.hint AS other, (length(p.text) - length(replace(p.text, q.quote, ''))) / length(q.quote) AS times FROM q JOIN p USING (doc) WHERE length(q.quote) >= 12 AND contains(p.text, q.quote)),
-  f AS (SELECT quote_id, arg_min({{'page': page, 'times': times}}, (other, page)) AS x FROM m GROUP BY 1)
-  SELECT q.quote_id, x.page AS page, CASE WHEN length(quote) < 12 THEN 'short' WHEN x IS NULL THEN 'missing' WHEN x.times > 1 THEN 'ambiguous' ELSE 'placed' END AS state FROM q LEFT JOIN f USING (quote_id)""")
-def quotes_placed(spark, d):
-    """Pieces of passages found again on the pages of their item."""
+def _quotes(spark, d):
+    """Pieces of passages, and the pages they are looked for on."""
     one = F.regexp_replace("document", r"\s+", " ")
     rows = table(spark, d, "chunk_records").where("document is not null")
     asked = rows.where("chunk_type = 'text'").select(
         F.col("meta_id").alias("quote_id"), F.col("item_key").alias("doc"), F.trim(one.substr(F.lit(21), (8 + F.col("chunk_index") % 40).cast("int"))).alias("quote"), (F.col("page_num") + F.col("chunk_index") % 2).alias("hint")
     )
     pages = rows.where("item_key is not null").groupBy(F.col("item_key").alias("doc"), F.col("page_num").alias("page"))
-    pages = pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("meta_id", one.alias("t")))), lambda x: x["t"]), " ").alias("text"))
-    return quotes.placed(asked, pages)
+    return asked, pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("meta_id", one.alias("t")))), lambda x: x["t"]), " ").alias("text"))
+
+
+@query(f"""WITH q AS ({_QUOTES}), p AS ({_QPAGES}), m AS (SELECT q.quote_id, p.page, p.page <> q.hint AS other, (length(p.text) - length(replace(p.text, q.quote, ''))) / length(q.quote) AS times FROM q JOIN p USING (doc) WHERE length(q.quote) >= 12 AND contains(p.text, q.quote)),
+  f AS (SELECT quote_id, arg_min({{'page': page, 'times': times}}, (other, page)) AS x FROM m GROUP BY 1)
+  SELECT q.quote_id, x.page AS page, CASE WHEN length(quote) < 12 THEN 'short' WHEN x IS NULL THEN 'missing' WHEN x.times > 1 THEN 'ambiguous' ELSE 'placed' END AS state FROM q LEFT JOIN f USING (quote_id)""")
+def quotes_placed(spark, d):
+    """Pieces of passages found again on the pages of their item."""
+    return quotes.placed(*_quotes(spark, d))
 
 
 @query(f"""WITH q AS ({_QUOTES}), p AS ({_QPAGES}), m AS (SELECT DISTINCT q.quote_id FROM q JOIN p USING (doc) WHERE length(q.quote) >= 12 AND contains(p.text, q.quote))
   SELECT CASE WHEN length(quote) < 12 THEN 'short' WHEN quote_id IN (SELECT quote_id FROM m) THEN 'found' ELSE 'missing' END AS state, count(*) AS n FROM q GROUP BY 1""")
 def placement_coverage(spark, d):
     """How many quotes are short, found and missing."""
-    state = F.when(F.col("state").isin("placed", "ambiguous"), "found").otherwise(F.col("state"))
-    return quotes_placed(spark, d).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return quotes.coverage(*_quotes(spark, d))
 
 
 @query()

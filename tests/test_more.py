@@ -177,6 +177,14 @@ def test_quotes_of_a_long_document(spark):
     assert placed.where("state = 'placed' and page = quote_id").count() == 5000
 
 
+def test_quotes_covered(spark):
+    asked = spark.createDataFrame([(1, "d", "the first of all", 1), (2, "d", "the first of all", 9), (3, "d", "of", 1), (4, "e", "the first of all", 1), (5, None, "the first of all", 1), (6, "d", None, 1)], "quote_id int, doc string, quote string, hint int")
+    pages = spark.createDataFrame([("d", k, "it is the first of all of them") for k in range(3)], "doc string, page int, text string")
+    got = quotes.coverage(asked, pages)
+    assert "contains(" not in got._jdf.queryExecution().toString().lower()
+    assert rows(got, "state") == [("found", 2), ("missing", 3), ("short", 1)]
+
+
 def test_titles_resolved_against_brute_force(spark, monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(fulltext, "ROWS", 50)

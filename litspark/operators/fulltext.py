@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from litspark.sources.tables import written
 
-#: Rows of a block of either side whose words are counted together.
-ASKED, ROWS = 4096, 1 << 16
+#: Rows of a block of either side whose words are counted together, and pairs that leave it at a time.
+ASKED, ROWS, PAIRS = 4096, 1 << 16, 1 << 18
 
 
 def postings(documents: DataFrame, id_col: str, text_col: str, wanted: list[str] | None = None) -> DataFrame:
@@ -38,21 +38,36 @@ def all_words(index: DataFrame, words: list[str]) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str, least: int) -> DataFrame:
     """(left_id, right_id, overlap): all pairs of rows with ``least`` distinct words in common; ids are distinct.
 
-    Words are ordered by rarity. Of two rows with ``least`` words in common, one is among all but
-    the ``least`` - 1 most frequent words of either row, so that only these are joined; pairs are
-    counted once, at their first common word.
+    Blocks of left rows meet blocks of right rows in the tasks, where the right rows of each word of a
+    left row are counted up. The result grows with both sides, and so does the work, by some
+    nanoseconds a pair.
     """
-    counts = left.select(F.explode(words).alias("w")).unionByName(right.select(F.explode(words).alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
-
-    def ordered(df: DataFrame, key: str, name: str) -> DataFrame:
-        rows = df.where(F.size(words) >= least).select(key, F.explode(words).alias("w")).join(counts, "w")
-        rows = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]).alias(name))
-        return rows.select(key, name, F.explode(F.slice(F.col(name), F.lit(1), F.size(name) - (least - 1))).alias("w"))
-
-    pairs = ordered(left, left_id, "_a").join(ordered(right, right_id, "_b"), "w")
-    common = F.array_intersect("_a", "_b")
-    pairs = pairs.where((F.size(common) >= least) & (common[0] == F.col("w")))
-    return pairs.select(left_id, right_id, F.size(common).cast("long").alias("overlap"))
+    left, right = numbered(left, right, left_id, right_id, words, least)
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((left, left_id), (right, right_id))]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, q_ids, counts in _counted(batches):
+            out, n = [], 0
+
+            def batch(out: list, ids: pa.Array = ids, q_ids: pa.Array = q_ids) -> pa.RecordBatch:
+                q, places, common = zip(*out)
+                ends = np.cumsum([0, *map(len, places)])
+                met = pa.StructArray.from_arrays([ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(common).astype(np.int64))], ["id", "overlap"])
+                return pa.RecordBatch.from_arrays([q_ids.take(pa.array(q)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), met)], ["q", "met"])
+
+            for q, hits in counts:
+                places = np.flatnonzero(hits >= least)
+                if len(places):
+                    out.append((q, places, hits[places]))
+                    n += len(places)
+                if n > PAIRS:
+                    yield batch(out)
+                    out, n = [], 0
+            if out:
+                yield batch(out)
+
+    met = _met(left, right, left_id, right_id, words).mapInArrow(pairs, f"q {kinds[0]}, met array<struct<id: {kinds[1]}, overlap: long>>")
+    return met.select(F.col("q").alias(left_id), F.inline("met")).withColumnRenamed("id", right_id)
 
 
 def _packed(rows: DataFrame, key: str, words: str, size: int) -> DataFrame:
@@ -83,6 +98,35 @@ def numbered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, wor
     return side(left, left_id), side(right, right_id)
 
 
+def _met(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str) -> DataFrame:
+    """Every block of left rows (q_ids, q_sizes, q_numbers) with every block of right ones, a task for each."""
+    left, right = written(_packed(left, left_id, words, ASKED), "asked"), written(_packed(right, right_id, words, ROWS), "rows")
+    left = left.withColumnsRenamed({c: f"q_{c}" for c in left.columns})
+    return right.crossJoin(left).repartition(max(right.count() * left.count(), 1))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, Iterator[tuple[int, np.ndarray]]]]:
+    """(right ids, left ids, counts) of each pair of blocks; counts are (place of a left row, its words in common with each right row), in one array that is used again."""
+    for b in batches:
+        for k in range(len(b)):
+            ids, sizes, numbers, q_ids, q_sizes, q_numbers = (b.column(c)[k] for c in ("ids", "sizes", "numbers", "q_ids", "q_sizes", "q_numbers"))
+            sizes, q_sizes = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, q_sizes))
+            numbers, q_numbers = (np.frombuffer(x.as_py(), np.int64) for x in (numbers, q_numbers))
+            at = np.argsort(numbers, kind="stable")
+            row = np.repeat(np.arange(len(sizes)), sizes)[at]
+            low, high = (np.searchsorted(numbers[at], q_numbers, side) for side in ("left", "right"))
+
+            def counts(row=row, low=low, high=high, sizes=sizes, q_sizes=q_sizes) -> Iterator[tuple[int, np.ndarray]]:
+                ends, hits = np.cumsum(q_sizes), np.zeros(len(sizes), np.uint8 if q_sizes.max() < 256 else np.int32)
+                for q, (start, end) in enumerate(zip(ends - q_sizes, ends)):
+                    hits[:] = 0
+                    for j in range(start, end):
+                        hits[row[low[j] : high[j]]] += 1
+                    yield q, hits
+
+            yield ids.values, q_ids.values, counts()
+
+
 def clear_best(asked: DataFrame, rows: DataFrame, asked_id: str, row_id: str, words: str, least: int, times: float) -> DataFrame:
     """(asked_id, row_id, overlap): for each asked row the one row with most words in common, if these are ``least`` and ``times`` as many as the next row has.
 
@@ -93,35 +137,22 @@ def clear_best(asked: DataFrame, rows: DataFrame, asked_id: str, row_id: str, wo
     asked, rows = numbered(asked, rows, asked_id, row_id, words, least=1)
     asked = written(asked.withColumn(words, F.sort_array(words)), "asked")
     lists = written(asked.where(F.size(words) >= least).select(words).distinct().select(F.monotonically_increasing_id().alias("list"), words), "lists")
-    left, right = written(_packed(lists, "list", words, ASKED), "asked"), written(_packed(rows, row_id, words, ROWS), "rows")
-    left = left.withColumnsRenamed({c: f"q_{c}" for c in left.columns})
+    met = _met(lists, rows, "list", row_id, words)
     kind = rows.schema[row_id].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(len(b)):
-                ids, sizes, numbers, q_ids, q_sizes, q_numbers = (b.column(c)[k] for c in ("ids", "sizes", "numbers", "q_ids", "q_sizes", "q_numbers"))
-                sizes, q_sizes = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, q_sizes))
-                numbers, q_numbers = (np.frombuffer(x.as_py(), np.int64) for x in (numbers, q_numbers))
-                at = np.argsort(numbers, kind="stable")
-                row = np.repeat(np.arange(len(sizes)), sizes)[at]
-                low, high = (np.searchsorted(numbers[at], q_numbers, side) for side in ("left", "right"))
-                ends = np.cumsum(q_sizes)
-                hits = np.zeros(len(sizes), np.uint8 if q_sizes.max() < 256 else np.int32)
-                out = []
-                for q, (start, end) in enumerate(zip(ends - q_sizes, ends)):
-                    hits[:] = 0
-                    for j in range(start, end):
-                        hits[row[low[j] : high[j]]] += 1
-                    best = int(hits.argmax())
-                    most, hits[best] = int(hits[best]), 0
-                    if most:
-                        out.append((q, best, most, int(hits.max())))
-                if out:
-                    q, best, most, after = (pa.array(np.array(x)) for x in zip(*out))
-                    yield pa.RecordBatch.from_arrays([q_ids.values.take(q), ids.values.take(best), most, after], ["list", "id", "most", "after"])
-
-    met = right.crossJoin(left).repartition(max(right.count() * left.count(), 1)).mapInArrow(count, f"list long, id {kind}, most long, after long")
+        for ids, q_ids, counts in _counted(batches):
+            out = []
+            for q, hits in counts:
+                best = int(hits.argmax())
+                most, hits[best] = int(hits[best]), 0
+                if most:
+                    out.append((q, best, most, int(hits.max())))
+            if out:
+                q, best, most, after = (pa.array(np.array(x)) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([q_ids.take(q), ids.take(best), most, after], ["list", "id", "most", "after"])
+
+    met = met.mapInArrow(count, f"list long, id {kind}, most long, after long")
     best = met.groupBy("list").agg(F.max(F.struct("most", "id")).alias("first"), F.sort_array(F.flatten(F.collect_list(F.array("most", "after"))), False).alias("all"))
     clear = best.where((F.col("first.most") >= least) & (F.col("first.most") >= times * F.col("all")[1]))
     clear = clear.join(lists, "list").select(words, F.col("first.id").alias(row_id), F.col("first.most").alias("overlap"))

@@ -204,6 +204,19 @@ def test_overlaps_of_frequent_words(spark):
     assert got == [(a, b, 2) for a in range(30) for b in range(30)]
 
 
+def test_overlaps_are_counted_in_blocks(spark, monkeypatch):
+    for name, n in (("ROWS", 40), ("ASKED", 30), ("PAIRS", 50)):
+        monkeypatch.setattr(fulltext, name, n)
+    of = lambda i, m: [f"w{k}" for k in range(12) if (i * 7 + k * m) % 5 < 2]
+    a, b = {f"a{i}": of(i, 3) for i in range(90)}, {i: of(i, 2) for i in range(100)}
+    left, right = spark.createDataFrame(list(a.items()), "a string, words array<string>"), spark.createDataFrame(list(b.items()), "b long, words array<string>")
+    for least in (2, 3):
+        got = fulltext.overlaps(left, right, "a", "b", "words", least)
+        assert "array_intersect" not in got._jdf.queryExecution().toString()
+        assert rows(got, "a", "b") == sorted((x, y, n) for x in a for y in b for n in [len({*a[x]} & {*b[y]})] if n >= least)
+    assert fulltext.overlaps(left.limit(0), right, "a", "b", "words", 2).count() == 0
+
+
 def test_inverted_index(spark):
     df = spark.createDataFrame([(1, "b a b  c"), (2, None)], "id long, t string")
     got = scholar.inverted_index(df, "id", "t").select("id", scholar.rebuilt(F.col("index")))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from litspark.sources.tables import written
 
-#: Rows of a block of either side whose words are counted together, and pairs that leave it at a time.
-ASKED, ROWS, PAIRS = 4096, 1 << 16, 1 << 18
+#: Rows of a block of either side whose words are counted together, pairs that leave it at a time, and tasks at most.
+ASKED, ROWS, PAIRS, TASKS = 4096, 1 << 16, 1 << 18, 10_000
 
 
 def postings(documents: DataFrame, id_col: str, text_col: str, wanted: list[str] | None = None) -> DataFrame:
@@ -99,10 +99,10 @@ def numbered(left: DataFrame, right: DataFrame, left_id: str, right_id: str, wor
 
 
 def _met(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str) -> DataFrame:
-    """Every block of left rows (q_ids, q_sizes, q_numbers) with every block of right ones, a task for each."""
+    """Every block of left rows (q_ids, q_sizes, q_numbers) with every block of right ones, in up to TASKS tasks."""
     left, right = written(_packed(left, left_id, words, ASKED), "asked"), written(_packed(right, right_id, words, ROWS), "rows")
     left = left.withColumnsRenamed({c: f"q_{c}" for c in left.columns})
-    return right.crossJoin(left).repartition(max(right.count() * left.count(), 1))
+    return right.crossJoin(left).repartition(min(max(right.count() * left.count(), 1), TASKS))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, Iterator[tuple[int, np.ndarray]]]]:
